@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, line_dedup, media_matroska, quality_classifier, sentence_pieces, simhash_dedup, substring_dedup, url_filter
+from tidemark.llm import chat_format, decontaminate, html_extract, line_dedup, media_matroska, quality_classifier, sentence_pieces, simhash_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_quality_classifier, op2_substring_dedup, op3_decontamination, op5_simhash_dedup, op6_line_dedup,
+    op1_quality_classifier, op2_substring_dedup, op3_decontamination, op4_html_extract, op5_simhash_dedup, op6_line_dedup,
     op7_media_matroska, op8_url_filter, op9_chat_format, op10_sentence_pieces,
 )
 
