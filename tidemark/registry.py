@@ -28,3 +28,14 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    import importlib
+    import pkgutil
+
+    from tidemark import plans
+
+    for module in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"tidemark.plans.{module.name}")
