@@ -11,7 +11,7 @@ with the prefix table.  Positional and length bounds follow from the offset: the
 must begin at ``position - offset`` and end within the document.  What is left is verified
 word by word over the item-sized window.
 
-The bitmap has at most ``MAX_BITS`` bits whatever the benchmark's size; a full one only
+The bitmap has a bounded number of bits whatever the benchmark's size; a full one only
 lets more tokens through to the join.  The prefix table is broadcast up to
 ``BROADCAST_ROWS`` windows and shuffled beyond.
 
@@ -34,10 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import prepare, written
+from tidemark.llm.shared import Bitmap, prepare, slots, written
 
 WINDOW, SHINGLE = 13, 3
-MAX_BITS, BITS_A_TOKEN = 1 << 25, 256
 BROADCAST_ROWS = 200_000
 
 #: ASCII but digits and letters stands between words; upper-case letters are lowered first.
@@ -72,27 +71,6 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(ids, pa.int64())), pa.array(windows, longs), pa.array(tokens, longs)], names=["item_id", "words", "tokens"])
 
 
-def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return tokens & np.uint64(bits - 1)
-
-
-class Bitmap:
-    """Which of ``bits`` slots hold a token; gathered from at most ``bits / 64`` rows."""
-
-    def __init__(self, tokens: DataFrame, count: int):
-        self.bits = 1 << max(12, min(MAX_BITS, BITS_A_TOKEN * max(count, 1)).bit_length() - 1)
-        slot = F.col("token").bitwiseAND(F.lit(self.bits - 1))
-        word = F.call_function("shiftright", slot, F.lit(6)).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-        found = tokens.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        words = np.zeros(self.bits // 64, np.int64)
-        words[found["w"].to_numpy()] = found["b"].to_numpy()
-        self.packed = words.view(np.uint8)
-
-    def mask(self) -> np.ndarray:
-        return np.unpackbits(self.packed, bitorder="little").astype(bool)
-
-
 def _streams(hashes: np.ndarray, first: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per shingle size: positions that lie within one row, and their tokens."""
     seq = tk.Sequence(hashes)
@@ -109,7 +87,7 @@ def _count_tokens(bitmap, sizes: list[int]):
         for _, data, offsets in tk.text_chunks(batches):
             hashes, first = _words(data, offsets)
             for inside, tokens in _streams(hashes, first, sizes):
-                found = tokens[inside & here[_slots(tokens, here.size)]]
+                found = tokens[inside & here[slots(tokens, here.size)]]
                 kinds, counts = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tk.signed(kinds)), pa.array(counts)], names=["token", "n"])
 
@@ -134,7 +112,7 @@ def _candidates(bitmap, sizes: list[int]):
             every, none = np.arange(rows.num_rows), rows.num_rows
             yield batch(every, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, longs))
             for inside, tokens in _streams(hashes, first, sizes):
-                at = np.flatnonzero(inside & here[_slots(tokens, here.size)])
+                at = np.flatnonzero(inside & here[slots(tokens, here.size)])
                 if not at.size:
                     continue
                 row = np.searchsorted(first, at, "right") - 1
@@ -211,7 +189,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the contaminated ones; all columns stay."""
-    found = find_items(documents, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("of"), F.col("tag").alias("known"))
+    found = find_items(documents, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__of"), F.col("tag").alias("__known"))
     others = [c for c in documents.columns if c != "text"]
     rows = documents.select("text", *others)
 
@@ -219,10 +197,10 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
         for part, data, offsets in tk.text_chunks(batches):
             hashes, first = _words(data, offsets)
             tag = tk.signed(tk.Sequence(hashes).of(first[:-1], first[1:]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tag)], names=[*part.schema.names, "words_tag"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tag)], names=[*part.schema.names, "__tag"])
 
-    rows = rows.mapInArrow(tagged, T.StructType([*rows.schema.fields, T.StructField("words_tag", T.LongType())]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.col("words_tag") == F.col("known"))
+    rows = rows.mapInArrow(tagged, T.StructType([*rows.schema.fields, T.StructField("__tag", T.LongType())]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.col("__tag") == F.col("__known"))
     return rows.join(written(found, "contaminated"), same, "left_anti").select(*documents.columns)
 
 

@@ -215,17 +215,17 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     return grow(x, found["label"].to_numpy().astype(float))
 
 
-def score(documents: DataFrame, trees: Trees) -> DataFrame:
-    """``documents`` with ``score``; a column of that name in the input is replaced."""
+def score(documents: DataFrame, trees: Trees, out: str = "score") -> DataFrame:
+    """``documents`` with their score as ``out``; a column of that name in the input is replaced."""
     prepare(documents.sparkSession)
-    docs = documents.drop("score")
+    docs = documents.drop(out)
     docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tk.text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(trees.score(statistics(data, offsets)))], names=[*rows.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(trees.score(statistics(data, offsets)))], names=[*rows.schema.names, out])
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def predicted(score_column: Column, threshold: float = THRESHOLD) -> Column:

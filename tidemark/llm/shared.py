@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and Python; whole texts can be long.
 BATCH_ROWS = 256
+#: Size of a bitmap: at most so many bits, and so many for each token below that.
+MAX_BITS, BITS_A_TOKEN = 1 << 25, 256
 
 
 def prepare(spark: SparkSession) -> None:
@@ -63,3 +66,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = state
+
+
+def slots(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return tokens & np.uint64(bits - 1)
+
+
+class Bitmap:
+    """Which of ``bits`` slots hold one of the ``count`` tokens of a column ``token``.
+
+    Gathered as at most ``MAX_BITS / 64`` words, so it may be broadcast whatever the
+    number of tokens; tasks use it to skip most rows before an exact join.
+    """
+
+    def __init__(self, tokens: DataFrame, count: int):
+        self.bits = 1 << max(12, min(MAX_BITS, BITS_A_TOKEN * max(count, 1)).bit_length() - 1)
+        slot = F.col("token").bitwiseAND(F.lit(self.bits - 1))
+        word = F.shiftright(slot, 6).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+        found = tokens.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        words = np.zeros(self.bits // 64, np.int64)
+        words[found["w"].to_numpy()] = found["b"].to_numpy()
+        self.packed = words.view(np.uint8)
+
+    def mask(self) -> np.ndarray:
+        return np.unpackbits(self.packed, bitorder="little").astype(bool)

@@ -112,8 +112,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """``documents`` with one row of each component: that of its smallest doc_id."""
-    kept = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    rows = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept")), "left_semi")
+    kept = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    rows = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
     return rows.dropDuplicates(["doc_id"]).select(*documents.columns)
 
 
