@@ -245,3 +245,37 @@ def test_entry_is_importable(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_shapley_parts_add_up(spark):
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((80, 3))
+    y = x @ [1.0, 0.5, 0.0] + 0.1 * rng.standard_normal(80)
+    df = spark.createDataFrame([(1, *map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "g int, a double, b double, c double, y double")
+    row = models.shapley_parts(df, "g", "y", {"a": ["a"], "bc": ["b", "c"]}).first()
+    assert abs(sum(row.parts) - row.r2) < 1e-9 and row.r2 > 0.9
+    parts = models.sequential_parts(df, "g", "y", ["a", "b", "c"]).first()
+    assert abs(sum(parts.parts) + parts.rest - 1) < 1e-9
+
+
+def test_granger_finds_the_leader(spark):
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(5)
+    lead = rng.standard_normal(200)
+    rows = [("yes", float(rng.standard_normal()), float(lead[i - 1]), float(lead[i - 1] + 0.1 * rng.standard_normal())) for i in range(1, 200)]
+    rows += [("no", float(rng.standard_normal()), float(lead[i - 1]), float(rng.standard_normal())) for i in range(1, 200)]
+    got = {r.g: r.f for r in models.granger(spark.createDataFrame(rows, "g string, own double, other double, y double"), "g", "y", ["own"], ["other"]).collect()}
+    assert got["yes"] > 100 > got["no"]
+
+
+def test_partial_least_squares_with_all_components_is_least_squares(spark):
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((100, 3))
+    y = x @ [1.0, -2.0, 0.5]
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double")
+    assert np.allclose(models.partial_least_squares(df, "x", "y", 3)[1], [1, -2, 0.5], atol=1e-8)
