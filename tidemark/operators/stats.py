@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import rank_all, running_total, tiles
+
 
 def ordinal_ranks(df: DataFrame, group: list[str], columns: list[str], tiebreak: list[str]) -> DataFrame:
     """Ranks with ties broken by ``tiebreak``, as ``<column>_rank``."""
@@ -32,12 +34,17 @@ def partial_corr(xy: Column, xz: Column, yz: Column) -> Column:
 def auc(df: DataFrame, label: str, score: str, group: list[str] | None = None) -> DataFrame:
     """Mann-Whitney area with averaged ties, from one row a distinct score.
 
-    Scores are counted first, so the running sum walks distinct scores of a group.
+    Scores are counted first, so the running sum walks distinct scores, of a group or
+    in ranges of the whole table.
     """
     keys = group or []
     counts = df.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.col(label)).alias("_p"), F.count("*").alias("_n"))
-    below = F.sum(F.col("_n") - F.col("_p")).over(W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1))
-    parts = counts.withColumn("_below", F.coalesce(below, F.lit(0)))
+    if keys:
+        w = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
+        parts = counts.withColumn("_up_to", F.sum(F.col("_n") - F.col("_p")).over(w))
+    else:
+        parts = running_total(counts, ["_s"], F.col("_n") - F.col("_p"), "_up_to")
+    parts = parts.withColumn("_below", F.col("_up_to") - (F.col("_n") - F.col("_p")))
     wins = F.sum(F.col("_p") * (F.col("_below") + (F.col("_n") - F.col("_p")) / 2))
     pairs = F.sum("_p") * (F.sum("_n") - F.sum("_p"))
     return parts.groupBy(*keys).agg(F.try_divide(wins, pairs).alias("auc"), F.sum("_p").alias("positives"), F.sum("_n").alias("n"))
@@ -93,9 +100,10 @@ def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
 def risk_coverage(df: DataFrame, confidence: str, correct: str, tiebreak: str, steps: int = 10) -> DataFrame:
     """Accuracy of the most confident 10 %, 20 % ... of rows.
 
-    Rows fall into confidence classes first; the cumulative sums walk these ``steps`` classes.
+    Row numbers come from ranges of the confidence; the cumulative sums walk the ``steps`` parts.
     """
-    bin_ = F.ntile(steps).over(W.orderBy(F.col(confidence).desc(), tiebreak))
-    parts = df.select(bin_.alias("step"), F.col(correct).cast("int").alias("_c")).groupBy("step").agg(F.sum("_c").alias("_c"), F.count("*").alias("_n"))
+    rows = df.select((-F.col(confidence)).alias("_conf"), tiebreak, F.col(correct).cast("int").alias("_c"))
+    ranked = rank_all(rows, ["_conf", tiebreak], "_rank").join(F.broadcast(rows.agg(F.count("*").alias("_all"))))
+    parts = ranked.groupBy(tiles(F.col("_rank"), F.col("_all"), steps).alias("step")).agg(F.sum("_c").alias("_c"), F.count("*").alias("_n"))
     w = W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     return parts.select("step", F.sum("_n").over(w).alias("n"), (F.sum("_c").over(w) / F.sum("_n").over(w)).alias("accuracy"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.order import rank_all
+
 ARTICLE = "doc_id string, source_name string, source_scope string, source_tier int, source_access string, source_method string, source_domain string, desks array<string>, discovery string, title string, body_text string, author string, url string, canonical_url string, lang string, word_count int, extraction_ok boolean, published_utc string, published_date string, published_is_estimated boolean, fetched_utc string, content_hash string"
 
 
@@ -134,16 +136,8 @@ def append_by_name(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def numbered_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """``batch``: rows in order, ``size`` a batch.
-
-    Row numbers are running within a range partition plus the rows of the ones before
-    it, so no task sees all rows.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
-    ranked = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    counts = ranked.groupBy("_part").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = ranked.join(F.broadcast(counts), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_n") - 1) / size))
-    return out.drop("_part", "_n", "_c", "_before")
+    """``batch``: rows in a total order, ``size`` a batch; no task sees all rows."""
+    return rank_all(df, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def sampled(df: DataFrame, group: list[str], order: list[str], every: int) -> DataFrame:
