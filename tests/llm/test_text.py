@@ -253,5 +253,5 @@ def test_broken_media():
     media = media_matroska.mux(bytes(4096))
     for cut in range(0, len(media), 97):
         packets, _, error = media_matroska.packet_rows(media[:cut])
-        assert isinstance(packets, list) and (error or cut == len(media) or not packets or True)
+        assert error or not packets
     assert media_matroska.packet_rows(None)[2] == "no data"

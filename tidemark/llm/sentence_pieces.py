@@ -30,6 +30,7 @@ Control pieces decode to nothing; ids outside the table are an error.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,27 +95,35 @@ class Pieces:
         rows = pa.table({"piece": list(self.ids), "id": pa.array(self.ids.values(), pa.int32()), "score": pa.array(self.scores.values(), pa.float64())})
         return spark.createDataFrame(rows)
 
+    def __post_init__(self) -> None:
+        """``steps``: score and id of each piece, and None for what only begins a piece."""
+        self.steps: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.ids for n in range(1, len(p))}
+        self.steps |= {p: (self.scores[p], i) for p, i in self.ids.items()}
+
     def fold(self, unit: str) -> list[int]:
-        """Ids of the best segmentation of one unit."""
-        best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]
-        for end in range(1, len(unit) + 1):
-            found = None
-            for start in range(max(0, end - self.longest), end):
+        """Ids of the best segmentation of one unit, position by position."""
+        size, steps, none = len(unit), self.steps, float("-inf")
+        best, back, ids = [none] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
+        best[0] = 0.0
+        for start in range(size):
+            score = best[start]
+            if steps.get(unit[start]) is None and score + self.worst - PENALTY >= best[start + 1]:
+                best[start + 1], back[start + 1], ids[start + 1] = score + self.worst - PENALTY, start, -1
+            for end in range(start + 1, size + 1):
                 piece = unit[start:end]
-                if (i := self.ids.get(piece)) is not None:
-                    step = (best[start][0] + self.scores[piece], start, [i])
-                elif end - start == 1:
-                    step = (best[start][0] + self.worst - PENALTY, start, [self.byte_ids[b] for b in piece.encode()])
-                else:
-                    continue
-                if found is None or step[0] >= found[0]:
-                    found = step
-            best.append(found)
-        parts, at = [], len(unit)
+                if piece not in steps:
+                    break
+                step = steps[piece]
+                if step is not None and score + step[0] >= best[end]:
+                    best[end], back[end], ids[end] = score + step[0], start, step[1]
+        parts, at = [], size
         while at:
-            parts.append(best[at][2])
-            at = best[at][1]
-        return [i for p in reversed(parts) for i in p]
+            if ids[at] < 0:
+                parts += [self.byte_ids[b] for b in reversed(unit[at - 1].encode())]
+            else:
+                parts.append(ids[at])
+            at = back[at]
+        return parts[::-1]
 
 
 def units(documents: DataFrame, pieces: Pieces) -> DataFrame:
@@ -178,10 +187,16 @@ def _encoder(shared):
 
         def of_unit(unit: str) -> bytes:
             found = known.get(unit)
-            return found if found is not None else np.array(pieces.fold(unit), np.int32).tobytes()
+            return found if found is not None else array("i", pieces.fold(unit)).tobytes()
 
         def of_word(word: str) -> bytes:
-            ids = b"".join(map(of_unit, filter(None, cut.split(word)))) if cut else of_unit(word)
+            # Letters alone hold no place to cut, nor does a word before its one last mark.
+            if not cut or word[1:].isalpha():
+                ids = of_unit(word)
+            elif word[1:-1].isalpha() and cut.search(word, len(word) - 1):
+                ids = of_unit(word[:-1]) + of_unit(word[-1:])
+            else:
+                ids = b"".join(map(of_unit, filter(None, cut.split(word))))
             if len(memory) >= REMEMBERED:
                 memory.clear()
             memory[word] = ids
