@@ -84,6 +84,44 @@ def test_fuzzy_lines_go(docs):
     assert got[1].startswith(a) and got[2] == "second own line of that text"
 
 
+def test_all_similar_lines_go(docs):
+    """One word of a short line, a fifth of the words of long ones, words put in and left out."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for i in range(60):
+        n = rng.choice([5, 9, 10, 14, 19, 20, 40, 100])
+        line = [word() for _ in range(n)]
+        copy = list(line)
+        for _ in range(n // 5):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[word()], [word()], [], [copy[at], word()]])
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(copy) + "\n" + f"own words{i} of{i} this{i} text{i} {word()}")]
+    want = line_dedup.brute_force(rows)
+    assert sum(r[2] for r in want) >= 50
+    assert rows_of(line_dedup.remove_lines(docs(rows)), "doc_id", "n_lines", "n_removed", "text") == sorted(want, key=repr)
+
+
+def test_one_changed_word_goes(docs):
+    a = "the quick brown fox jumps over the lazy dog near the old river bank today again and again we say"
+    df = docs([(1, a), (2, a.replace("today", "tonight") + "\nsecond own line of it all")])
+    assert rows_of(line_dedup.remove_lines(df), "doc_id", "text") == [(1, a), (2, "second own line of it all")]
+
+
+def test_crowded_buckets_link_exactly(docs, monkeypatch):
+    rng = random.Random(12)
+    base = "of the and to in that is was he for it with as his on be at by".split()
+    rows = []
+    for i in range(60):
+        line = list(base)
+        for _ in range(rng.randint(1, 5)):
+            line[rng.randrange(len(line))] = f"w{rng.randrange(200)}"
+        rows.append((i, " ".join(line)))
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "HEADS", 1)
+    assert rows_of(line_dedup.remove_lines(docs(rows)), "doc_id", "n_lines", "n_removed", "text") == sorted(line_dedup.brute_force(rows), key=repr)
+
+
 @pytest.mark.parametrize(("a", "b", "d"), [("", "", 0), ("abc", "abc", 0), ("abc", "abd", 1), ("kitten", "sitting", 3), ("abcdef", "bcdefg", 2), ("", "abc", 3), ("xabc", "abc", 1)])
 def test_edit_distance(a, b, d):
     assert line_dedup.edit_distance(list(a), list(b), 10) == d
