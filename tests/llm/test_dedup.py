@@ -72,6 +72,13 @@ def test_keep_one(docs):
     assert simhash_dedup.keep_one(df).columns == df.columns
 
 
+def test_keep_one_tells_shared_and_null_ids_apart(docs):
+    a, b, c = "red green blue black", "some other text of words", "third text with its own words"
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, "fourth null text here again"), (2, a), (3, c), (None, None)]
+    kept = rows_of(simhash_dedup.keep_one(docs(rows)), "doc_id", "text")
+    assert kept == sorted([(1, a), (1, b), (3, c), (None, "fourth null text here again"), (None, None)], key=repr)
+
+
 def test_lines(docs, corpus):
     got = rows_of(line_dedup.remove_lines(docs(corpus, ["line", "kept", "of", "n_lines"])), "doc_id", "n_lines", "n_removed", "text")
     assert got == sorted(line_dedup.brute_force(corpus), key=repr)

@@ -19,7 +19,9 @@ proportion to the bucket.
 
 Defined cases: null, empty or blank text has fingerprint zero, which links like any
 other.  Null doc_id never names a component unless all its members are null.  Repeated
-rows give repeated results.
+rows give repeated results.  ``keep_one`` keeps one row of each component, that of the
+smallest doc_id (null last), then of the smallest digest of its text; rows that share
+doc_id but not the text, or have none, are told apart by that digest.
 """
 
 from __future__ import annotations
@@ -73,6 +75,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tk.signed(bits))], names=["doc_id", "bits"])
 
 
+def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, _, _ in tk.text_chunks(batches):
+        for found in _fingerprints(iter([rows])):
+            yield pa.RecordBatch.from_arrays([*found.columns, rows.column(2)], names=["doc_id", "bits", "digest"])
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """``doc_id, bits``: the fingerprint of each document as a signed 64-bit integer."""
     prepare(documents.sparkSession)
@@ -99,22 +107,32 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.union(shared).distinct()
 
 
+def _labelled(classes: DataFrame) -> DataFrame:
+    """``classes`` of distinct ``bits`` with the ``root`` of their component."""
+    joined = components(links(classes.select("bits")))
+    return classes.join(joined, F.col("bits") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "bits").alias("root"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row of ``documents``."""
     prints = written(fingerprints(documents), "prints")
-    classes = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    joined = components(links(classes))
-    label = classes.join(joined, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("component", "bits").alias("root"))
+    label = _labelled(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
     roots = label.groupBy("root").agg(F.min("least").alias("component_id"))
     label = label.join(roots, "root").select("bits", "component_id")
     return prints.join(label, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each component: that of its smallest doc_id."""
-    kept = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*documents.columns)
+    """``documents`` with one row of each component."""
+    prepare(documents.sparkSession)
+    digest = F.xxhash64("text")
+    prints = documents.select(F.col("doc_id").cast("long"), "text", digest.alias("digest")).mapInArrow(_tagged, "doc_id long, bits long, digest long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")).alias("first")
+    classes = written(prints.groupBy("bits").agg(first), "classes")
+    kept = _labelled(classes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__kept_digest"))
+    rows = documents.withColumn("__digest", digest)
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__digest"]).select(*documents.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, str, int]]:
