@@ -279,3 +279,12 @@ def test_partial_least_squares_with_all_components_is_least_squares(spark):
     y = x @ [1.0, -2.0, 0.5]
     df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double")
     assert np.allclose(models.partial_least_squares(df, "x", "y", 3)[1], [1, -2, 0.5], atol=1e-8)
+
+
+def test_page_metadata_reads_the_whole_page(spark, tmp_path):
+    from tidemark import registry
+
+    registry.load()
+    page = "<!--" + "x" * 300_000 + '--><html lang="en"><title>Late</title>'
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in registry.QUERIES["t10_page_metadata"](spark, str(tmp_path)).collect()] == [(1, "en", "Late")]
