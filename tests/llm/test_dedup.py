@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.llm import decontaminate, line_dedup, shared, simhash_dedup, substring_dedup
+from tidemark.llm import decontaminate, line_dedup, shared, shingle_join, simhash_dedup, substring_dedup
 
 
 def rows_of(df, *columns):
@@ -79,6 +79,35 @@ def test_keep_one_tells_shared_and_null_ids_apart(docs):
     assert kept == sorted([(1, a), (1, b), (3, c), (None, "fourth null text here again"), (None, None)], key=repr)
 
 
+def test_keep_one_finds_all_pairs_at_the_similarity(docs, monkeypatch):
+    """Copies with a few edits go, as a brute force on the shingles' Jaccard similarity says; also by way of crowded buckets."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for i in range(40):
+        text = [word() for _ in range(rng.choice([5, 30, 100, 300]))]
+        copy = list(text)
+        for _ in range(rng.choice([1, 1, 2, 4, 8])):
+            copy[rng.randrange(len(copy))] = word()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    base = [word() for _ in range(150)]
+    for i in range(12):
+        rows.append((100 + i, " ".join(base[: rng.randrange(90, 150)])))
+    sets = [set(shingle_join.shingles(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    want = sorted((rows[i][0],) for i in range(len(rows)) if root[i] == i)
+    assert 20 <= len(rows) - len(want)
+    assert sorted(rows_of(simhash_dedup.keep_one(docs(rows)), "doc_id")) == want
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "HEADS", 1)
+    assert sorted(rows_of(simhash_dedup.keep_one(docs(rows)), "doc_id")) == want
+
+
 def test_lines(docs, corpus):
     got = rows_of(line_dedup.remove_lines(docs(corpus, ["line", "kept", "of", "n_lines"])), "doc_id", "n_lines", "n_removed", "text")
     assert got == sorted(line_dedup.brute_force(corpus), key=repr)

@@ -1,4 +1,4 @@
-"""SimHash near-dedup over covering locality-sensitive hashing.
+"""SimHash near-dedup over covering locality-sensitive hashing, and the pipeline's near-dedup.
 
 Fingerprint: 64 bits over the 3-word shingles of the lower-cased text (A-Z only),
 repeats included; a bit is set if it is set in over half of the shingles' XXH64
@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import shingle_join
 from tidemark.llm import textkit as tk
 from tidemark.llm.shared import components, prepare, written
 
@@ -75,12 +76,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(tk.signed(bits))], names=["doc_id", "bits"])
 
 
-def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, _, _ in tk.text_chunks(batches):
-        for found in _fingerprints(iter([rows])):
-            yield pa.RecordBatch.from_arrays([*found.columns, rows.column(2)], names=["doc_id", "bits", "digest"])
-
-
 def fingerprints(documents: DataFrame) -> DataFrame:
     """``doc_id, bits``: the fingerprint of each document as a signed 64-bit integer."""
     prepare(documents.sparkSession)
@@ -107,29 +102,28 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.union(shared).distinct()
 
 
-def _labelled(classes: DataFrame) -> DataFrame:
-    """``classes`` of distinct ``bits`` with the ``root`` of their component."""
-    joined = components(links(classes.select("bits")))
-    return classes.join(joined, F.col("bits") == F.col("node"), "left").select(*classes.columns, F.coalesce("component", "bits").alias("root"))
-
-
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row of ``documents``."""
     prints = written(fingerprints(documents), "prints")
-    label = _labelled(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
+    classes = prints.groupBy("bits").agg(F.min("doc_id").alias("least"))
+    joined = components(links(classes))
+    label = classes.join(joined, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("component", "bits").alias("root"))
     roots = label.groupBy("root").agg(F.min("least").alias("component_id"))
     label = label.join(roots, "root").select("bits", "component_id")
     return prints.join(label, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each component."""
+    """``documents`` with one row of each component of texts that ``shingle_join`` links, whatever their fingerprints."""
     prepare(documents.sparkSession)
     digest = F.xxhash64("text")
-    prints = documents.select(F.col("doc_id").cast("long"), "text", digest.alias("digest")).mapInArrow(_tagged, "doc_id long, bits long, digest long")
+    tagged = documents.select(F.col("doc_id").cast("long"), digest.alias("digest"), "text")
+    named = tagged.mapInArrow(shingle_join.classes, "doc_id long, digest long, class long, size long")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")).alias("first")
-    classes = written(prints.groupBy("bits").agg(first), "classes")
-    kept = _labelled(classes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__kept_digest"))
+    classes = written(named.groupBy("class").agg(F.max("size").alias("size"), first), "classes")
+    joined = components(shingle_join.links(classes, tagged))
+    rooted = classes.join(joined, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__kept_digest"))
     rows = documents.withColumn("__digest", digest)
     rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
     return rows.dropDuplicates(["doc_id", "__digest"]).select(*documents.columns)
