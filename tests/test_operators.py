@@ -288,3 +288,15 @@ def test_page_metadata_reads_the_whole_page(spark, tmp_path):
     page = "<!--" + "x" * 300_000 + '--><html lang="en"><title>Late</title>'
     spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in registry.QUERIES["t10_page_metadata"](spark, str(tmp_path)).collect()] == [(1, "en", "Late")]
+
+
+def test_reference_sizes(spark):
+    """400 bootstrap draws and 24 theme clusters."""
+    from tidemark import registry
+
+    registry.load()
+    d = "/root/testdata/sf0.001"
+    want = N.bootstrap_mean(spark.read.parquet(f"{d}/events.parquet"), ["event_id"], "value", 400).first()
+    got = registry.QUERIES["n04_bootstrap_rows"](spark, d).first()
+    assert [got[c] for c in ("low", "high", "se")] == pytest.approx([want[c] for c in ("low", "high", "se")])
+    assert registry.QUERIES["v15_theme_clusters"](spark, d).count() == 24

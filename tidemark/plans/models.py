@@ -63,5 +63,5 @@ def m15_nonnegative_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def v15_theme_clusters(spark: SparkSession, d: str) -> DataFrame:
-    c = M.clusters(table(spark, d, "embeddings"), "embedding", 8)
+    c = M.clusters(table(spark, d, "embeddings"), "embedding", 24)
     return c.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("label").alias("breadth"), (F.count("*") * (1 + F.countDistinct("label"))).alias("weight"))

@@ -51,7 +51,7 @@ def n14_daily_ic_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def n04_bootstrap_rows(spark: SparkSession, d: str) -> DataFrame:
-    return N.bootstrap_mean(table(spark, d, "events"), ["event_id"], "value", 100)
+    return N.bootstrap_mean(table(spark, d, "events"), ["event_id"], "value", 400)
 
 
 @query()
