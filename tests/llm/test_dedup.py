@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import decontaminate, line_dedup, shared, shingle_join, simhash_dedup, substring_dedup
@@ -158,6 +159,41 @@ def test_crowded_buckets_link_exactly(docs, monkeypatch):
     assert rows_of(line_dedup.remove_lines(docs(rows)), "doc_id", "n_lines", "n_removed", "text") == sorted(line_dedup.brute_force(rows), key=repr)
 
 
+def test_crowded_buckets_of_long_lines(docs, monkeypatch):
+    """Lines that share over half of their words, some beyond the 128 parity bits, in buckets with several groups."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(220)]
+    rows = []
+    for i in range(50):
+        line = base[: rng.choice([30, 60, 200, 220])]
+        for _ in range(rng.choice([1, len(line) // 12, len(line) // 6, len(line) // 4, len(line) // 3])):
+            line[rng.randrange(len(line))] = f"w{rng.randrange(2000)}"
+        rows.append((i, " ".join(line)))
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "HEADS", 1)
+    want = line_dedup.brute_force(rows)
+    assert 10 < sum(r[2] for r in want) < 48
+    assert rows_of(line_dedup.remove_lines(docs(rows)), "doc_id", "n_lines", "n_removed", "text") == sorted(want, key=repr)
+
+
+def test_similar_sequences():
+    """The bands and the filter of bags against the plain distance, for edits of every kind and many sizes."""
+    rng = random.Random(14)
+    one = lambda v: (rng.randrange(v) + 3) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    a, b = [], []
+    for _ in range(1500):
+        kinds = rng.choice([3, 1000])
+        x = [one(kinds) for _ in range(rng.choice([0, 1, 5, 6, 9, 14, 20, 53, 100]))]
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 3)) if x else 0):
+            at = rng.randrange(len(y)) if y else 0
+            y[at : at + 1] = rng.choice([[one(kinds)], [], [one(kinds), *y[at : at + 1]]])
+        a.append(np.array(x, np.uint64))
+        b.append(np.array(y, np.uint64))
+    want = [line_dedup.edit_distance(x.tolist(), y.tolist(), max(x.size, y.size) // 5) <= max(x.size, y.size) // 5 for x, y in zip(a, b, strict=True)]
+    assert line_dedup.similar_sequences(a, b).tolist() == want and 300 < sum(want) < 1400
+
+
 @pytest.mark.parametrize(("a", "b", "d"), [("", "", 0), ("abc", "abc", 0), ("abc", "abd", 1), ("kitten", "sitting", 3), ("abcdef", "bcdefg", 2), ("", "abc", 3), ("xabc", "abc", 1)])
 def test_edit_distance(a, b, d):
     assert line_dedup.edit_distance(list(a), list(b), 10) == d
