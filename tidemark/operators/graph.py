@@ -6,6 +6,7 @@ one round.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,10 @@ def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder (a temporary one in local tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        found = sc.getConf().get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
     return df.checkpoint()
 
 
@@ -109,5 +113,7 @@ def pair_mining(docs: DataFrame, entities: DataFrame, causes: DataFrame, rare_sh
     idf = idf.select("entity", F.log(F.col("n") / F.col("df")).alias("idf"), (F.col("df") <= F.ceil(rare_share * F.col("n"))).alias("rare"))
     a = entities.join(docs, "doc").select("entity", F.col("doc").alias("a"), F.col("at").alias("at_a"))
     b = causes.join(docs, "doc").join(idf, "entity").select("entity", "idf", "rare", F.col("doc").alias("b"), F.col("at").alias("at_b"))
-    pairs = a.join(b, "entity").where("at_a < at_b").groupBy("a", "b").agg(F.sum("idf").alias("weight"), F.bool_or("rare").alias("rare"))
-    return pairs.where("rare").drop("rare")
+    # Documents meet on rare entities only; common ones add to the weight of the pairs found.
+    found = a.join(b.where("rare").select("entity", "b", "at_b"), "entity").where("at_a < at_b").select("a", "b").distinct()
+    shared = found.join(b.select("b", "entity", "idf"), "b").join(a.select("a", "entity"), ["a", "entity"])
+    return shared.groupBy("a", "b").agg(F.sum("idf").alias("weight"))

@@ -17,58 +17,108 @@ from tidemark.operators.temporal import first_per_key
 K1, B = 1.2, 0.75
 
 
-def bm25_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc, term, tf, dl, df, idf, avg_dl``: one row per document and term."""
-    terms = docs.select(F.col(doc_id).alias("doc"), F.explode(T.tokens(F.col(text))).alias("term"))
-    tf = terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    dl = docs.select(F.col(doc_id).alias("doc"), F.size(T.tokens(F.col(text))).alias("dl"))
+#: Queries whose matrix is broadcast at once; a larger set takes a pass for each so many.
+BLOCK = 4096
+
+
+def bm25_index(docs: DataFrame, doc_id: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """``doc, term, tf, dl, df, idf, avg_dl``: one row per document and term.
+
+    ``only`` names the terms that are asked for; others leave right after the texts are
+    split, before anything is shuffled.
+    """
+    whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_dl"))
+    terms = docs.select(F.col(doc_id).alias("doc"), T.tokens(F.col(text)).alias("all")).select("doc", F.size("all").alias("dl"), F.explode("all").alias("term"))
+    if only is not None:
+        terms = terms.join(only.select("term"), "term", "left_semi")
+    tf = terms.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    whole = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return tf.join(df, "term").join(dl, "doc").join(F.broadcast(whole)).select("doc", "term", "tf", "dl", "df", idf.alias("idf"), "avg_dl")
+    return tf.join(df, "term").join(F.broadcast(whole)).select("doc", "term", "tf", "dl", "df", idf.alias("idf"), "avg_dl")
+
+
+def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    return queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
     """Best ``k`` documents a query; query terms count once."""
-    terms = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
+    terms = query_terms(queries, query_id, text)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     scored = terms.join(index, "term").groupBy("query", "doc").agg(F.sum(weight).alias("score"))
     return first_per_key(scored, ["query"], [F.round("score", 9).desc(), F.col("doc")], rank="rank", most=k)
 
 
+def _blocks(queries: DataFrame, query_id: str, query: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of about ``BLOCK`` queries at a time."""
+    passes = max(1, -(-queries.count() // BLOCK))
+    for b in range(passes):
+        found = queries.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == b).select(query_id, query).toPandas()
+        mat = np.array(found[query].tolist(), float).reshape(len(found), -1)
+        yield found[query_id].to_numpy(), mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
+
+
+def _scores(m: np.ndarray, rows: pd.Series) -> np.ndarray:
+    x = np.array(rows.tolist(), float)
+    return m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query", query: str = "q", vec_id: str = "vec_id", vec: str = "embedding", floor: float | None = None) -> DataFrame:
     """Exact cosine top-k: each block of queries is one matrix product per batch of vectors.
 
-    The queries are the stated set and are broadcast; each task keeps the best ``k`` of
-    its own rows, and only those are shuffled for the final ranking.
+    At most about ``BLOCK`` queries are broadcast at once, in as many passes as the set needs;
+    each task keeps the best ``k`` of a batch, and only those are shuffled for the final ranking.
     """
-    found = queries.select(query_id, query).toPandas()
-    ids = found[query_id].to_numpy()
-    mat = np.array(found[query].tolist(), float).reshape(len(ids), -1)
-    mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, mat))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qs, m = shared.value
-        for b in batches:
-            if not len(b) or not len(qs):
-                continue
-            x = np.array(b[vec].tolist(), float)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = m @ x.T
-            top = min(k, s.shape[1])
-            # Ties at the edge of a batch stay in, so the final ranking decides them by id.
-            edge = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
-            r, c = np.nonzero(s >= edge[:, None] - 1e-12)
-            yield pd.DataFrame({query_id: qs[r], vec_id: b[vec_id].to_numpy()[c], "score": s[r, c]})
-
     kinds = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vec_id]
-    scored = vectors.select(vec_id, vec).mapInPandas(best, f"`{query_id}` {kinds[0]}, `{vec_id}` {kinds[1]}, score double")
+    scored: DataFrame | None = None
+    for block in _blocks(queries, query_id, query):
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qs, m = shared.value
+            for b in batches:
+                if not len(b) or not len(qs):
+                    continue
+                s = _scores(m, b[vec])
+                top = min(k, s.shape[1])
+                # Ties at the edge of a batch stay in, so the final ranking decides them by id.
+                edge = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
+                r, c = np.nonzero(s >= edge[:, None] - 1e-12)
+                yield pd.DataFrame({query_id: qs[r], vec_id: b[vec_id].to_numpy()[c], "score": s[r, c]})
+
+        found = vectors.select(vec_id, vec).mapInPandas(best, f"`{query_id}` {kinds[0]}, `{vec_id}` {kinds[1]}, score double")
+        scored = found if scored is None else scored.union(found)
     if floor is not None:
         scored = scored.where(F.col("score") >= floor)
     return first_per_key(scored, [query_id], [F.round("score", 9).desc(), F.col(vec_id)], rank="rank", most=k)
 
 
+def best_chunks(queries: DataFrame, chunks: DataFrame, doc: str, query_id: str = "query", query: str = "q", vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """For each query and document the cosine of its best chunk, and that chunk (on a tie the least id).
+
+    Each task puts out one row a query, document and batch, not every score.
+    """
+    kinds = dict(queries.dtypes)[query_id], dict(chunks.dtypes)[doc], dict(chunks.dtypes)[vec_id]
+    scored: DataFrame | None = None
+    for block in _blocks(queries, query_id, query):
+        shared = chunks.sparkSession.sparkContext.broadcast(block)
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            qs, m = shared.value
+            for b in batches:
+                if not len(b) or not len(qs):
+                    continue
+                b = b.sort_values([doc, vec_id])
+                s, ids = np.round(_scores(m, b[vec]), 12), b[vec_id].to_numpy()
+                for name, at in b.reset_index(drop=True).groupby(doc, sort=False).indices.items():
+                    top = s[:, at].argmax(1)
+                    yield pd.DataFrame({query_id: qs, doc: name, vec_id: ids[at][top], "score": s[:, at][np.arange(len(qs)), top]})
+
+        found = chunks.select(vec_id, doc, vec).mapInPandas(best, f"`{query_id}` {kinds[0]}, `{doc}` {kinds[1]}, `{vec_id}` {kinds[2]}, score double")
+        scored = found if scored is None else scored.union(found)
+    return max_pool(scored, query_id, doc, "score", vec_id)
+
+
 def fuse(ranked: DataFrame, route: str, rank: str, keys: list[str], weights: dict[str, float] | None = None, c: float = 60.0) -> DataFrame:
     """Reciprocal-rank fusion; ranks start at 1, so the first adds ``1 / c``."""
     w: Column = F.lit(1.0)

@@ -210,7 +210,7 @@ def j27_fallback_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {BARS}, dly AS (SELECT symbol, ts::DATE AS day, round(avg(close), 6) AS c FROM bars WHERE symbol < 4 GROUP BY ALL)
 SELECT day, max(c) FILTER (symbol = 0) AS s0, max(c) FILTER (symbol = 1) AS s1, max(c) FILTER (symbol = 2) AS s2, max(c) FILTER (symbol = 3) AS s3 FROM dly GROUP BY day HAVING count(*) = 4""")
 def j28_factor_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Days that all factors share, one column a factor."""
+    """Days that all factors share, one column a factor; the factors are a fixed four, symbols 0 to 3."""
     p = prices(spark, d).where("symbol < 4").groupBy("symbol", F.to_date("ts").alias("day")).agg(F.round(F.avg("close"), 6).alias("c"))
     wide = p.groupBy("day").pivot("symbol", [0, 1, 2, 3]).agg(F.max("c"))
     return wide.select("day", *[F.col(str(i)).alias(f"s{i}") for i in range(4)]).dropna()

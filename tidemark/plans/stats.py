@@ -90,15 +90,15 @@ def n09_wilson(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PANEL}, x AS (SELECT symbol, day, ret, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM panel WHERE symbol IN (1, 2)),
-a AS (SELECT * FROM x WHERE symbol = 1), b AS (SELECT * FROM x WHERE symbol = 2), s AS (SELECT k FROM range(1, 9) r(k)),
+a AS (SELECT * FROM x WHERE symbol = 1), b AS (SELECT * FROM x WHERE symbol = 2), s AS (SELECT k FROM range(1, 25) r(k)),
 c AS (SELECT k, abs(corr(a.ret, b.ret)) AS c FROM s, a JOIN b ON b.i = (a.i + k) % b.n GROUP BY k) SELECT round(quantile_cont(c, 0.95), 5) AS band, count(*) AS shifts FROM c""")
 def n10_circular_shift(spark: SparkSession, d: str) -> DataFrame:
-    """Null band of a correlation from circular shifts of one series."""
+    """Null band of a correlation from 24 circular shifts of one series; the pair asked for is symbols 1 and 2."""
     p = panel(spark, d).where("symbol IN (1, 2)")
     x = p.withColumn("i", F.row_number().over(S.ordered(["symbol"], ["day"])) - 1).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
     b = x.where("symbol = 2").select(F.col("i").alias("j"), F.col("ret").alias("other"), "n")
     count = b.agg(F.max("n").alias("m"))
-    a = x.where("symbol = 1").select("i", "ret", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).join(F.broadcast(count))
+    a = x.where("symbol = 1").select("i", "ret", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("k")).join(F.broadcast(count))
     c = a.withColumn("j", (F.col("i") + F.col("k")) % F.col("m")).join(b, "j").groupBy("k").agg(F.abs(F.corr("ret", "other")).alias("c"))
     return c.agg(F.round(F.percentile("c", 0.95), 5).alias("band"), F.count("*").alias("shifts"))
 

@@ -119,13 +119,13 @@ def w15_mixed_moment_beta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Days of symbols 0..9 against symbol 0."""
-    p = panel(spark, d).where("symbol < 10").select("symbol", "day", "ret")
+    """Days of every other symbol against the reference symbol 0."""
+    p = panel(spark, d).select("symbol", "day", "ret")
     base = p.where("symbol = 0").select("day", F.col("ret").alias("base"))
-    return p.where("symbol > 0").join(base, "day")
+    return p.where("symbol <> 0").join(base, "day")
 
 
-PAIRS = f"{PANEL}, pairs AS (SELECT p.symbol, p.day, p.ret, b.ret AS base FROM panel p JOIN panel b ON b.day = p.day AND b.symbol = 0 WHERE p.symbol BETWEEN 1 AND 9)"
+PAIRS = f"{PANEL}, pairs AS (SELECT p.symbol, p.day, p.ret, b.ret AS base FROM panel p JOIN panel b ON b.day = p.day AND b.symbol = 0 WHERE p.symbol <> 0)"
 
 
 @query(f"""WITH {PAIRS} SELECT symbol, day, round(CASE WHEN count(*) OVER f >= 6 THEN corr(ret, base) OVER f END, 6) AS corr
