@@ -255,3 +255,52 @@ def test_broken_media():
         packets, _, error = media_matroska.packet_rows(media[:cut])
         assert error or not packets
     assert media_matroska.packet_rows(None)[2] == "no data"
+
+
+def test_long_pages_stay_within_memory():
+    """A page of very many blocks among small ones: bounded memory, and the same labels as alone."""
+    import tracemalloc
+
+    long = html_extract.blocks("<html><body><article>" + "".join(f"<p>word{i % 97} of it, and more.</p>" for i in range(20_000)) + "</article></body></html>")
+    small = [html_extract.blocks(PAGE) for _ in range(63)]
+    model = html_extract.Labeller.start(3)
+    assert len(long) == 20_000
+    tracemalloc.start()
+    found = model.label([long, *small])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert found[0].size == 20_000 and all((x == found[1]).all() for x in found[2:])
+    assert (model.label(small[:1])[0] == found[1]).all()
+
+
+def test_windows_of_steps_give_the_same_margins(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = html_extract.Labeller.start(2)
+    x, mask = rng.standard_normal((3, 11, html_extract.INPUTS)).astype(np.float32), np.ones((3, 11), np.float32)
+    whole = model.margins(x, mask)
+    monkeypatch.setattr(html_extract, "STEPS", 4)
+    assert np.allclose(model.margins(x, mask), whole, atol=1e-5)
+
+
+def test_html_empty_table_and_extra_columns(spark):
+    columns = "page_id long, url string, html string, text string, n_chars string"
+    assert html_extract.extract(spark.createDataFrame([], columns)).count() == 0
+    got = html_extract.extract(spark.createDataFrame([(1, "u", PAGE, "mine", "x"), (1, "u", PAGE, "mine", "x")], columns)).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].text != "mine"
+
+
+def test_pieces_empty_table_and_repeated_rows(docs):
+    assert sentence_pieces.digest(docs([])).count() == 0
+    got = sentence_pieces.digest(docs([(1, "some words"), (1, "some words"), (None, None)])).collect()
+    assert len(got) == 3 and sum(r.lossless for r in got) == 3 and len({r.ids_sha256 for r in got if r.doc_id}) == 1
+
+
+def test_pieces_of_a_partial_dictionary(docs):
+    """Whatever the dictionary's size, the ids are the same."""
+    rows = [(i, f"common words here and a rare{i}word, once.") for i in range(12)]
+    want = None
+    for size in (0, 5, 1 << 18):
+        got = sorted((r.doc_id, r.ids) for r in sentence_pieces.encode(docs(rows), size=size).collect())
+        want = want or got
+        assert got == want

@@ -39,6 +39,8 @@ PATH_DIMS, WORD_DIMS, NUMBERS = 128, 32, 8
 INPUTS = PATH_DIMS + WORD_DIMS + NUMBERS
 HIDDEN, PAGES, EPOCHS, SEED, LEARN = 16, 600, 10, 7, 0.01
 TOGETHER = 64
+#: Inputs of a batch of pages, padding included, unless one page alone has more; steps whose gates are computed at once.
+CELLS, STEPS = 1 << 22, 2048
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -171,27 +173,35 @@ class Labeller:
         one = lambda: [draw(INPUTS, 4 * HIDDEN), draw(HIDDEN, 4 * HIDDEN), np.repeat(np.float32([0, 1, 0, 0]), HIDDEN)]
         return cls([*one(), *one(), draw(2 * HIDDEN, 1), np.zeros(1, np.float32)])
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: int) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction for (pages, steps, inputs), and what the backward pass needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, side: int, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden states of one direction for (pages, steps, inputs), and, if asked, what the backward pass needs.
+
+        Steps go in windows of ``STEPS`` that hand on their state, so memory beyond the
+        states themselves does not grow with a page.
+        """
         w, u, b = self.weights[3 * side : 3 * side + 3]
         pages, steps, _ = x.shape
-        into = x @ w + b
         h = c = np.zeros((pages, HIDDEN), np.float32)
         states, kept = np.zeros((pages, steps, HIDDEN), np.float32), []
+        lo, into = -1, x[:, :0] @ w
         for t in range(steps) if not side else range(steps - 1, -1, -1):
-            z = into[:, t] + h @ u
+            if t // STEPS != lo:
+                lo = t // STEPS
+                into = x[:, lo * STEPS : (lo + 1) * STEPS] @ w + b
+            z = into[:, t - lo * STEPS] + h @ u
             i, f, o = (1 / (1 + np.exp(-z[:, k * HIDDEN : (k + 1) * HIDDEN])) for k in range(3))
             g = np.tanh(z[:, 3 * HIDDEN :])
             on = mask[:, t, None]
             c_new = on * (f * c + i * g)
             squashed = np.tanh(c_new)
-            kept.append((t, h, c, i, f, o, g, squashed, on))
+            if keep:
+                kept.append((t, h, c, i, f, o, g, squashed, on))
             h, c = on * o * squashed, c_new
             states[:, t] = h
         return states, kept
 
     def margins(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, 0)[0], self._run(x, mask, 1)[0]], 2)
+        both = np.concatenate([self._run(x, mask, side, keep=False)[0] for side in (0, 1)], 2)
         return (both @ self.weights[6] + self.weights[7])[..., 0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -221,8 +231,10 @@ class Labeller:
         """For each page, which of its blocks are main text."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), TOGETHER):
-            part = order[lo : lo + TOGETHER]
+        while order:
+            # Sorted by length, so the last page of a batch is what the others are padded to.
+            n = max([1, *(k for k in range(1, min(TOGETHER, len(order)) + 1) if k * len(pages[order[k - 1]]) * INPUTS <= CELLS)])
+            part, order = order[:n], order[n:]
             x, mask = _padded([vectors(pages[i]) for i in part])
             for i, m in zip(part, self.margins(x, mask), strict=True):
                 out[i] = m[: len(pages[i])] > 0
