@@ -153,7 +153,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     place = "gram long, span long, doc_id long, place long"
     anchors = docs.mapInArrow(_anchors, place)
-    again = docs.mapInArrow(_anchors, place).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so both sides of the join are plain shuffles and a very frequent anchor's rows can be split over tasks.
+    again = written(docs.mapInArrow(_anchors, place).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "again")
     seeds = written(anchors.join(again, "gram", "left_semi"), "seeds")
     firsts = seeds.groupBy("gram", "span").agg(F.min(F.struct("doc_id", "place")).alias("at"))
     firsts = written(firsts.select("gram", "at.doc_id", "at.place"), "firsts")
