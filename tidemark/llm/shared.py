@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,13 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by the cluster.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in local tests, a temporary
-    folder is made.
+    Where ``spark.checkpoint.dir`` is unset a temporary folder is made in local mode, as in
+    tests; on a cluster that is an error, as executors would not see each other's files.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.local.checkpoint", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("tidemark.local.checkpoint", found)
     return found
