@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import prepare
+from tidemark.llm.shared import prepare, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DICTIONARY = 1 << 18
@@ -174,8 +174,20 @@ def fold(edges: DataFrame) -> DataFrame:
 
 
 def dictionary(documents: DataFrame, pieces: Pieces, size: int = DICTIONARY) -> DataFrame:
-    """``unit, ids`` of the ``size`` most frequent units."""
-    frequent = units(documents, pieces).where(F.length("unit") <= LONGEST).orderBy(F.desc("n"), "unit").limit(size)
+    """``unit, ids`` of the most frequent units, at most ``size``.
+
+    How frequent is read off a histogram of the counts, whose size does not depend on the
+    corpus; so no task ranks the units of others.
+    """
+    found = written(units(documents, pieces).where(F.length("unit") <= LONGEST), "units")
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, room = None, size
+    for row in found.groupBy(level.alias("level")).agg(F.count("*").alias("units")).orderBy(F.desc("level")).collect():
+        room -= row.units
+        if room < 0:
+            break
+        least = row.level
+    frequent = found.where(level >= least) if least is not None else found.where("false")
     return fold(lattice(frequent.select("unit").repartition("unit"), pieces))
 
 
