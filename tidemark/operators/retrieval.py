@@ -63,11 +63,12 @@ def _scores(m: np.ndarray, rows: pd.Series) -> np.ndarray:
     return m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query", query: str = "q", vec_id: str = "vec_id", vec: str = "embedding", floor: float | None = None) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query", query: str = "q", vec_id: str = "vec_id", vec: str = "embedding", floor: float | None = None, earlier: bool = False) -> DataFrame:
     """Exact cosine top-k: each block of queries is one matrix product per batch of vectors.
 
     At most about ``BLOCK`` queries are broadcast at once, in as many passes as the set needs;
     each task keeps the best ``k`` of a batch, and only those are shuffled for the final ranking.
+    ``earlier`` takes only vectors whose id is smaller than the query's.
     """
     kinds = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vec_id]
     scored: DataFrame | None = None
@@ -80,10 +81,12 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
                 if not len(b) or not len(qs):
                     continue
                 s = _scores(m, b[vec])
+                if earlier:
+                    s[b[vec_id].to_numpy()[None, :] >= qs[:, None]] = -np.inf
                 top = min(k, s.shape[1])
                 # Ties at the edge of a batch stay in, so the final ranking decides them by id.
                 edge = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
-                r, c = np.nonzero(s >= edge[:, None] - 1e-12)
+                r, c = np.nonzero((s >= edge[:, None] - 1e-12) & np.isfinite(s))
                 yield pd.DataFrame({query_id: qs[r], vec_id: b[vec_id].to_numpy()[c], "score": s[r, c]})
 
         found = vectors.select(vec_id, vec).mapInPandas(best, f"`{query_id}` {kinds[0]}, `{vec_id}` {kinds[1]}, score double")

@@ -126,3 +126,110 @@ def t07_name_uuid(spark: SparkSession, d: str) -> DataFrame:
     part = lambda a, n: F.substring("h", a, n)
     variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return rows.select("doc_id", F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12)).alias("id"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, source, lang AS desk FROM documents WHERE doc_id % 28 BETWEEN 4 AND 13 AND n_chars > 0 AND text IS NOT NULL")
+def s01_corpus_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus partitioned by day, read between two days for full bodies: the bounds prune partitions."""
+    path = f"{_work(spark)}/corpus"
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int"))
+    a = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_name"), F.array("lang").alias("desks"), F.col("text").alias("body_text"), (F.col("n_chars") > 0).alias("extraction_ok"), day.cast("string").alias("published_date"), day.alias("dt"))
+    a.repartition("dt").write.partitionBy("dt").parquet(path)
+    found = files.corpus(spark, path, start="2024-01-05", end="2024-01-14", full_body=True)
+    return found.select("doc_id", F.col("source_name").alias("source"), F.get("desks", 0).alias("desk"))
+
+
+@query("SELECT l_suppkey AS entity, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem WHERE l_shipdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND l_returnflag = 'N' GROUP BY 1")
+def s02_facts_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Facts in partitions by year and flag, read by both: a scan of the folders asked for only."""
+    path = f"{_work(spark)}/facts"
+    l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), "l_quantity", F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("desk"))
+    l.repartition("year", "desk").write.partitionBy("year", "desk").parquet(path)
+    f = spark.read.parquet(path).where("year = 1996 AND desk = 'N'")
+    return f.groupBy("entity").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+@query("SELECT p_partkey, p_brand, round(p_retailprice * 2, 2) AS price FROM part")
+def s16_full_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """A table written whole with its schema and compression, then replaced whole by the next refresh."""
+    path = f"{_work(spark)}/parts"
+    p = table(spark, d, "part")
+    for times in (1, 2):
+        p.select("p_partkey", "p_brand", F.round(F.col("p_retailprice") * times, 2).alias("price")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 4 = 0")
+def s17_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are new or whose digest changed since the state that was kept; the state is read as two columns."""
+    path = f"{_work(spark)}/state"
+    docs = table(spark, d, "documents")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    kept = F.when(F.col("doc_id") % 4 == 0, "changed").otherwise(digest)
+    docs.where("doc_id % 3 = 0").select("doc_id", kept.alias("content_hash"), "text", "source").write.parquet(path)
+    state = spark.read.parquet(path).select("doc_id", "content_hash")
+    return docs.withColumn("content_hash", digest).join(state, ["doc_id", "content_hash"], "left_anti").select("doc_id", "source")
+
+
+@query("SELECT url AS loc, '2024-01-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') AS lastmod FROM pages WHERE url IS NOT NULL")
+def s20_sitemap(spark: SparkSession, d: str) -> DataFrame:
+    """Landed sitemaps read as one row a location."""
+    path = f"{_work(spark)}/sitemaps"
+    day = F.format_string("2024-01-%02d", 1 + F.col("page_id") % 28)
+    table(spark, d, "pages").where("url IS NOT NULL").select(F.col("url").alias("loc"), day.alias("lastmod")).write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return files.sitemap(spark, path)
+
+
+@query("SELECT event_id::VARCHAR || '@cal' AS uid, 'Release ' || event_type || ', print ' || user_id AS summary, date_trunc('second', ts) AS starts FROM events")
+def s28_calendar_files(spark: SparkSession, d: str) -> DataFrame:
+    """Calendar files with folded lines read back as events."""
+    path = f"{_work(spark)}/calendar"
+    start = F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
+    body = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), F.col("event_id").cast("string"), F.lit("@cal\r\nSUMMARY:Release "), F.col("event_type"), F.lit(", pr\r\n int "), F.col("user_id").cast("string"), F.lit("\r\nDTSTART:"), start, F.lit("\r\nEND:VEVENT\r"))
+    table(spark, d, "events").select(body.alias("value")).write.text(path)
+    return files.calendar_events(spark, path).select("uid", "summary", F.col("starts").cast("timestamp_ntz").alias("starts"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS symbol, p_brand AS expiry, side, round(p_retailprice * m, 2) AS strike, round(p_size / 100.0, 4) AS iv FROM part, (VALUES ('call', 0.5::DOUBLE), ('call', 1::DOUBLE), ('put', 2::DOUBLE)) s(side, m)""")
+def s32_option_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Nested option chains as one row a contract."""
+    price = F.col("p_retailprice")
+    leg = lambda m: F.struct(F.round(price * m, 2).alias("strike"), F.round(F.col("p_size") / 100.0, 4).alias("impliedVolatility"), F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"))
+    chain = F.struct(F.col("p_partkey").cast("string").alias("symbol"), price.alias("spot"), F.col("p_brand").alias("expiry"), F.array(leg(0.5), leg(1.0)).alias("calls"), F.array(leg(2.0)).alias("puts"))
+    path = f"{_work(spark)}/chains"
+    table(spark, d, "part").select(F.to_json(chain).alias("value")).write.text(path)
+    return files.option_rows(spark.read.text(path), "value").select("symbol", "expiry", "side", "strike", "iv")
+
+
+@query("SELECT md5(c_custkey::VARCHAR) AS point, c_custkey % 2 = 0 AS renewed, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '!' ELSE c_mktsegment END AS payload FROM customer")
+def s34_vector_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Points under ids made from their key, upserted: the later batch wins and the others stay."""
+    path = f"{_work(spark)}/points"
+    c = table(spark, d, "customer").select("c_custkey", F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("point"), "c_mktsegment")
+    shard = F.substring("point", 1, 1).alias("shard")
+    files.merge_partitions(spark, path, c.select("point", F.lit(False).alias("renewed"), F.col("c_mktsegment").alias("payload"), shard), ["point"], partition="shard")
+    later = c.where("c_custkey % 2 = 0").select("point", F.lit(True).alias("renewed"), F.concat("c_mktsegment", F.lit("!")).alias("payload"), shard)
+    files.merge_partitions(spark, path, later, ["point"], partition="shard")
+    return spark.read.parquet(path).drop("shard")
+
+
+@query("SELECT l_orderkey AS doc, l_linenumber AS line, l_returnflag AS direction, CASE WHEN l_suppkey % 4 = 0 THEN 'other' ELSE l_linestatus END AS desk, NULL::VARCHAR AS headline, NULL::DOUBLE AS magnitude FROM lineitem")
+def s37_fact_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Facts widened to the columns a reader of the interface expects; a missing desk is 'other'."""
+    desk = F.when(F.col("l_suppkey") % 4 != 0, F.col("l_linestatus"))
+    none = {"headline": "string", "magnitude": "double"}
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("direction"), F.coalesce(desk, F.lit("other")).alias("desk"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+
+@query("""WITH e AS (SELECT n_regionkey AS a, s_nationkey AS b, count(*) AS weight FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)
+SELECT 'edge' AS kind, a::VARCHAR AS id, b::VARCHAR AS other, weight FROM e UNION ALL SELECT 'node', 'r' || a, NULL, sum(weight)::BIGINT FROM e GROUP BY a""")
+def s41_graph_export(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges of a graph exported as JSON lines and CSV, then read back as one list."""
+    work = _work(spark)
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("a"))
+    e = table(spark, d, "supplier").join(n, "s_nationkey").groupBy("a", F.col("s_nationkey").alias("b")).agg(F.count("*").alias("weight"))
+    e.write.option("header", True).csv(f"{work}/edges")
+    e.groupBy("a").agg(F.sum("weight").alias("weight")).select(F.concat(F.lit("r"), F.col("a").cast("string")).alias("id"), "weight").write.json(f"{work}/nodes")
+    edges = files.csv(spark, f"{work}/edges", "a string, b string, weight long")
+    nodes = files.json_lines(spark, f"{work}/nodes", "id string, weight long")
+    return edges.select(F.lit("edge").alias("kind"), F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(nodes.withColumn("kind", F.lit("node")), allowMissingColumns=True)
