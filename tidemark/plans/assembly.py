@@ -10,6 +10,7 @@ from tidemark.functions import text as X
 from tidemark.operators import graph as G
 from tidemark.operators import retrieval as R
 from tidemark.operators import series as S
+from tidemark.operators import stats as N
 from tidemark.operators.temporal import first_per_key, near_in_time
 from tidemark.plans.composites import PRIORS, cells, moves, priors
 from tidemark.plans.retrieval import CO, FACTS, NEAR, facts, query_set, vectors
@@ -361,3 +362,45 @@ def x17_fade_portfolio(spark: SparkSession, d: str) -> DataFrame:
     cost = F.when(F.col("day") == F.date_add("opened", 1), 0.01).otherwise(0.0)
     pnl = filled.select("day", ((F.lag("p").over(w) - F.col("p") - cost) / (1 - F.col("paid"))).alias("ret")).where("ret IS NOT NULL")
     return pnl.groupBy("day").agg(F.count("*").alias("markets"), F.round(F.avg("ret"), 6).alias("ret"))
+
+
+@query("""WITH x AS (SELECT vec_id, label % 2 AS y, vec_id % 10 < 3 AS test, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), axis AS (SELECT i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS w FROM x WHERE NOT test GROUP BY 1),
+s AS (SELECT vec_id, any_value(y) AS y, round(sum(v * w), 9) AS s FROM x JOIN axis USING (i) WHERE test GROUP BY 1)
+SELECT round(avg(CASE WHEN p.s > n.s THEN 1 WHEN p.s = n.s THEN 0.5 ELSE 0 END), 8) AS auc, (SELECT count(*) FROM s) AS n FROM s p, s n WHERE p.y = 1 AND n.y = 0""")
+def m07_mean_axis(spark: SparkSession, d: str) -> DataFrame:
+    """How well the difference of two classes' means, from the training rows, ranks the held-out ones."""
+    v = vectors(spark, d).select("vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 10 < 3).alias("test"), F.expr("transform(embedding, e -> double(e))").alias("x"))
+    mean = lambda k: F.avg(F.when(F.col("y") == k, F.col("v")))
+    parts = v.where("NOT test").select("y", F.posexplode("x").alias("i", "v")).groupBy("i").agg((mean(1) - mean(0)).alias("w"))
+    axis = parts.agg(F.expr("transform(array_sort(collect_list(struct(i, w))), e -> e.w)").alias("w"))
+    s = v.where("test").join(F.broadcast(axis)).select("y", F.expr("round(aggregate(zip_with(x, w, (a, b) -> a * b), 0d, (t, z) -> t + z), 9)").alias("s"))
+    return N.auc(s, "y", "s").select(F.round("auc", 8).alias("auc"), F.col("n"))
+
+
+@query(f"""WITH {NEAR}, others AS (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM near WHERE vec_id <> query), votes AS (SELECT query, label, count(*) AS n FROM others JOIN embeddings USING (vec_id) WHERE rank <= 15 GROUP BY ALL)
+SELECT query, label, n, label = (SELECT label FROM embeddings WHERE vec_id = query) AS hit FROM votes QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1""")
+def m08_neighbour_vote(spark: SparkSession, d: str) -> DataFrame:
+    """The class that most of a query's fifteen nearest other vectors have, and whether it is the query's own."""
+    v = vectors(spark, d)
+    near = R.top_k(query_set(spark, d), v, 16).where("vec_id <> query")
+    near = first_per_key(near, ["query"], [F.round("score", 9).desc(), F.col("vec_id")], most=15).select("query", "vec_id")
+    votes = near.join(v.select("vec_id", "label"), "vec_id").groupBy("query", "label").agg(F.count("*").alias("n"))
+    own = v.select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
+    return first_per_key(votes, ["query"], [F.col("n").desc(), F.col("label")]).join(own, "query").select("query", "label", "n", (F.col("label") == F.col("own")).alias("hit"))
+
+
+@query("""SELECT symbol, event_id, close FROM (SELECT user_id AS symbol, event_id, ts, value AS close FROM events WHERE event_type IN ('view', 'click') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-25') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, event_id DESC) <= 2""")
+def s03_price_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The last two bars a symbol of listed kinds between two dates: list and bounds are pushed to the scan."""
+    moment = lambda s: F.lit(s).cast("timestamp_ntz")
+    e = table(spark, d, "events").where(F.col("event_type").isin("view", "click") & (F.col("ts") >= moment("2024-01-10")) & (F.col("ts") < moment("2024-01-25")))
+    return first_per_key(e.select(F.col("user_id").alias("symbol"), "event_id", "ts", F.col("value").alias("close")), ["symbol"], [F.col("ts").desc(), F.col("event_id").desc()], most=2).select("symbol", "event_id", "close")
+
+
+@query("""WITH o AS (SELECT user_id AS series, event_type AS event, value, ts AS observed, ts + INTERVAL 2 HOUR AS knowable, ts + to_hours((event_id % 72)::INTEGER) AS ingested, event_id FROM events)
+SELECT series, event, value, event_id FROM o WHERE knowable <= TIMESTAMP '2024-01-20' AND ingested <= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY series, event ORDER BY observed DESC, ingested DESC, event_id DESC) = 1""")
+def r07_bitemporal_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The newest observation of a series that could be known, and was in the store, at a moment."""
+    o = table(spark, d, "events").selectExpr("user_id AS series", "event_type AS event", "value", "ts AS observed", "ts + INTERVAL 2 HOURS AS knowable", "ts + make_dt_interval(0, cast(event_id % 72 AS int)) AS ingested", "event_id")
+    seen = o.where("knowable <= TIMESTAMP_NTZ '2024-01-20' AND ingested <= TIMESTAMP_NTZ '2024-01-20'")
+    return first_per_key(seen, ["series", "event"], [F.col(c).desc() for c in ("observed", "ingested", "event_id")]).select("series", "event", "value", "event_id")
