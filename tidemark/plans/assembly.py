@@ -404,3 +404,33 @@ def r07_bitemporal_as_of(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "events").selectExpr("user_id AS series", "event_type AS event", "value", "ts AS observed", "ts + INTERVAL 2 HOURS AS knowable", "ts + make_dt_interval(0, cast(event_id % 72 AS int)) AS ingested", "event_id")
     seen = o.where("knowable <= TIMESTAMP_NTZ '2024-01-20' AND ingested <= TIMESTAMP_NTZ '2024-01-20'")
     return first_per_key(seen, ["series", "event"], [F.col(c).desc() for c in ("observed", "ingested", "event_id")]).select("series", "event", "value", "event_id")
+
+
+@query("""WITH f AS (SELECT p_partkey AS fact, split_part(p_name, ' ', 2) AS subject, CASE WHEN p_size % 4 > 0 THEN lower(p_type || ' ' || p_name || ' ' || p_brand) END AS cause FROM part)
+SELECT fact, CASE WHEN subject = 'widget' THEN 'driver' ELSE 'effect' END AS role FROM f WHERE (subject = 'widget' AND cause IS NOT NULL) OR (subject <> 'widget' AND contains(cause, 'brand#1'))""")
+def g15_node_drivers(spark: SparkSession, d: str) -> DataFrame:
+    """What drives a node (its own facts that have a cause) and what it drives (others' facts whose cause names it)."""
+    cause = F.when(F.col("p_size") % 4 > 0, F.lower(F.concat_ws(" ", "p_type", "p_name", "p_brand")))
+    f = table(spark, d, "part").select(F.col("p_partkey").alias("fact"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("subject"), cause.alias("cause"))
+    own = F.col("subject") == "widget"
+    return f.where((own & F.col("cause").isNotNull()) | (~own & F.contains("cause", F.lit("brand#1")))).select("fact", F.when(own, "driver").otherwise("effect").alias("role"))
+
+
+@query(f"""WITH {NEAR}, t AS (SELECT query, rank, score, label FROM dense JOIN embeddings USING (vec_id) WHERE rank BETWEEN 2 AND 6), s AS (SELECT query, round(max(score), 6) AS s, count(DISTINCT label) > 1 AS mixed FROM t GROUP BY 1)
+SELECT query, s AS score, mixed, CASE WHEN s < 0.4 THEN 'abstain' WHEN s >= 0.55 AND NOT mixed THEN 'high' WHEN s >= 0.45 THEN 'medium' ELSE 'low' END AS confidence FROM s""")
+def v11_attributed(spark: SparkSession, d: str) -> DataFrame:
+    """A query's confidence from its best evidence: none when that is far, never high when its five nearest disagree in class."""
+    near = R.top_k(query_set(spark, d), vectors(spark, d), 6).where("rank >= 2")
+    s = near.join(vectors(spark, d).select("vec_id", "label"), "vec_id").groupBy("query").agg(F.round(F.max("score"), 6).alias("score"), (F.countDistinct("label") > 1).alias("mixed"))
+    return s.select("query", "score", "mixed", F.expr("CASE WHEN score < 0.4 THEN 'abstain' WHEN score >= 0.55 AND NOT mixed THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END").alias("confidence"))
+
+
+@query("""WITH p AS (SELECT a.p_partkey, lower(a.p_name) AS name, lower(b.p_type || ' ' || b.p_name) AS body FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
+SELECT p_partkey, (length(name) >= 3 AND contains(body, name)) OR len(list_filter(string_split(name, ' '), lambda t: length(t) >= 4 AND contains(body, t))) > 0 AS seen FROM p""")
+def p12_entity_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each row's entity is in its source text: the full name, or a word of it of four letters or more."""
+    p = table(spark, d, "part")
+    body = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("body"))
+    rows = p.select("p_partkey", F.lower("p_name").alias("name")).join(body, "p_partkey")
+    word = F.exists(F.split("name", " "), lambda t: (F.length(t) >= 4) & F.contains(F.col("body"), t))
+    return rows.select("p_partkey", (((F.length("name") >= 3) & F.contains("body", F.col("name"))) | word).alias("seen"))
