@@ -11,6 +11,7 @@ from tidemark.functions import text as T
 from tidemark.operators import aggregates as A
 from tidemark.operators import graph as G
 from tidemark.operators import linear as L
+from tidemark.operators import retrieval
 from tidemark.operators import series as S
 from tidemark.operators import stats as N
 from tidemark.operators import temporal as X
@@ -300,3 +301,14 @@ def test_reference_sizes(spark):
     got = registry.QUERIES["n04_bootstrap_rows"](spark, d).first()
     assert [got[c] for c in ("low", "high", "se")] == pytest.approx([want[c] for c in ("low", "high", "se")])
     assert registry.QUERIES["v15_theme_clusters"](spark, d).count() == 24
+
+
+def test_top_k_earlier_only(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 4))
+    x[5] = x[2]
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(12) for j in sorted(range(i), key=lambda j: (-round(float(unit[i] @ unit[j]), 9), j))[:3]}
+    assert {(r.query, r.vec_id) for r in retrieval.top_k(q, v, 3, earlier=True).collect()} == want
