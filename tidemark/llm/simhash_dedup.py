@@ -118,9 +118,9 @@ def keep_one(documents: DataFrame) -> DataFrame:
     prepare(documents.sparkSession)
     digest = F.xxhash64("text")
     tagged = documents.select(F.col("doc_id").cast("long"), digest.alias("digest"), "text")
-    named = tagged.mapInArrow(shingle_join.classes, "doc_id long, digest long, class long, size long")
+    named = tagged.mapInArrow(shingle_join.classes, "doc_id long, digest long, class long, size long, sketch binary")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")).alias("first")
-    classes = written(named.groupBy("class").agg(F.max("size").alias("size"), first), "classes")
+    classes = written(named.groupBy("class").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), first), "classes")
     joined = components(shingle_join.links(classes, tagged))
     rooted = classes.join(joined, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__kept_digest"))
