@@ -150,3 +150,16 @@ def nullable(c: Column) -> Column:
 
 def quarter_index(d: Column) -> Column:
     return F.year(d) * 4 + F.quarter(d) - 1
+
+
+def decode_link(c: Column) -> Column:
+    """The address that an aggregator's link carries in its path as URL-safe base 64; null if it has none."""
+    code = F.nullif(F.regexp_extract(c, "/articles/([A-Za-z0-9_-]+)", 1), F.lit(""))
+    return F.try_to_binary(F.concat(F.translate(code, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(code), F.lit(4)))), F.lit("base64")).cast("string")
+
+
+def business_section(c: Column) -> Column:
+    """The longest text between a heading of item 1 of a filing and the next of item 1A; null if there is no such heading."""
+    parts = F.split(c, r"(?i)item\s+1[.:]?\s+business")
+    parts = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x, i: F.struct(F.length(F.trim(F.split(x, r"(?i)item\s+1a")[0])).alias("n"), (-i).alias("first"), F.trim(F.split(x, r"(?i)item\s+1a")[0]).alias("part")))
+    return F.array_max(parts)["part"]
