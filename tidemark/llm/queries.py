@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, html_extract, line_dedup, media_matroska, quality_classifier, sentence_pieces, simhash_dedup, substring_dedup, url_filter
+from tidemark.llm import chat_format, decontaminate, html_extract, importance, line_dedup, media_matroska, quality_classifier, sentence_pieces, simhash_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,14 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 _ALL = (
     op1_quality_classifier, op2_substring_dedup, op3_decontamination, op4_html_extract, op5_simhash_dedup, op6_line_dedup,
     op7_media_matroska, op8_url_filter, op9_chat_format, op10_sentence_pieces,
+    op11_importance,
 )
 
 
@@ -70,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontaminate.ORACLE,
         "op8_url_filter": url_filter.ORACLE,
         "op9_chat_format": chat_format.ORACLE,
+        "op11_importance": importance.ORACLE,
     }

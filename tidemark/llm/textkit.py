@@ -24,6 +24,11 @@ SECOND_BASE = 0xA0761D6478BD642F
 
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII but digits and small letters; with ``LOWER`` applied first this leaves [a-z0-9] and all beyond ASCII.
+ASCII_MARKS = np.zeros(256, bool)
+ASCII_MARKS[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 class Powers:
