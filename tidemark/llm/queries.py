@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, html_extract, importance, line_dedup, media_matroska, quality_classifier, sentence_pieces, simhash_dedup, substring_dedup, url_filter
+from tidemark.llm import chat_format, decontaminate, html_extract, importance, language_id, line_dedup, media_matroska, quality_classifier, ranked_search, sentence_pieces, simhash_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,18 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.digest(importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_quality_classifier, op2_substring_dedup, op3_decontamination, op4_html_extract, op5_simhash_dedup, op6_line_dedup,
     op7_media_matroska, op8_url_filter, op9_chat_format, op10_sentence_pieces,
-    op11_importance,
+    op11_importance, op12_language_id, op13_ranked_search,
 )
 
 
@@ -76,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": url_filter.ORACLE,
         "op9_chat_format": chat_format.ORACLE,
         "op11_importance": importance.ORACLE,
+        "op13_ranked_search": ranked_search.ORACLE,
     }
