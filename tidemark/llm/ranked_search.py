@@ -17,8 +17,8 @@ An item of common words would score most of the corpus.  Exact bounds avoid that
 
 1. the rarest terms of an item, as far as ``LEAD_ROWS`` postings, name ``SEEDS`` documents; their
    full scores give a floor, which the k-th best document reaches at least;
-2. an item's terms whose greatest possible scores together stay below the floor cannot lift
-   a document over it alone; documents are sought by the other terms only;
+2. an item's terms whose greatest possible scores together stay below ``IDLE_SHARE`` of the floor
+   cannot lift a document over it alone; documents are sought by the other terms only;
 3. of these, documents that could still reach the floor get the rest of their score.
 
 With fewer than k documents at hand the floor is 0 and every term seeks.  So
@@ -51,6 +51,8 @@ from tidemark.llm.shared import Bitmap, prepare, shared_dir, slots, written
 TOP = 10
 #: Postings of an item's rarest terms that name its first documents, and how many of these.
 LEAD_ROWS, SEEDS = 2000, 40
+#: Share of the floor that the terms which do not seek may reach together.
+IDLE_SHARE = 0.6
 #: A term with fewer rows is never split into parts.
 HOT_ROWS = 10_000
 
@@ -112,10 +114,11 @@ def search(documents: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     spark = documents.sparkSession
     prepare(spark)
     wanted = items.select("item_id", "text").mapInArrow(_item_terms, f"item_id {items.schema['item_id'].dataType.simpleString()}, term long, times long")
-    # A null id is an item as well; joins below go by a key that is never null.
+    # A null id is an item as well; joins below go by numbers of items.
     key = F.coalesce(F.concat(F.lit("i"), F.col("item_id").cast("string")), F.lit("none"))
-    wanted = written(wanted.groupBy(key.alias("item"), "term").agg(F.sum("times").alias("times"), F.first("item_id").alias("id")), "terms")
-    names = wanted.groupBy("item").agg(F.first("id").alias("id"))
+    wanted = written(wanted.groupBy(key.alias("key"), "term").agg(F.sum("times").alias("times"), F.first("item_id").alias("id")), "terms")
+    names = written(wanted.groupBy("key").agg(F.first("id").alias("id")).withColumn("item", F.monotonically_increasing_id()), "items")
+    wanted = wanted.drop("id").join(names.select("key", "item"), "key").select("item", "term", "times")
     tokens = wanted.select(F.col("term").alias("token")).distinct()
     bitmap = spark.sparkContext.broadcast(Bitmap(tokens, tokens.count()))
     texts = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -129,7 +132,7 @@ def search(documents: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     share = max(HOT_ROWS, n_rows // (4 * buckets))
     stats = raw.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("most"))
     weight = F.floor(1000 * F.log((F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * F.col("df") + 1))) if n_docs else F.lit(0).cast("long")
-    terms = wanted.drop("id").join(stats, "term").withColumn("w", weight * F.col("times")).where("w > 0")
+    terms = wanted.join(stats, "term").withColumn("w", weight * F.col("times")).where("w > 0")
     terms = written(terms.select("item", "term", "w", "df", (F.col("w") * F.col("most")).alias("bound"), (F.floor(F.col("df") / share) + 1).cast("int").alias("parts")), "weights")
     # At most four times as many terms as buckets are split, so they may be broadcast.
     split = terms.where("parts > 1").select("term", "parts").distinct()
@@ -160,14 +163,14 @@ def search(documents: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     floors = top(known, k).groupBy("item").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("floor"))
     by_bound = W.partitionBy("item").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranged = terms.join(floors, "item", "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
-    ranged = ranged.withColumn("up_to", F.sum("bound").over(by_bound)).withColumn("idle", F.col("up_to") < F.col("floor"))
+    ranged = ranged.withColumn("up_to", F.sum("bound").over(by_bound)).withColumn("idle", F.col("up_to") < IDLE_SHARE * F.col("floor"))
     ranged = written(ranged, "bounds")
     reach = ranged.groupBy("item").agg(F.max("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("idle"), F.col("up_to"))), F.lit(0)).alias("rest"))
     sought = matches(ranged.where("NOT idle")).join(reach, "item").where(F.col("score") + F.col("rest") >= F.col("floor"))
     sought = written(sought.select("item", "row", "doc_id", "score"), "candidates")
     rest = of_pairs(sought, ranged.where("idle")).select("item", "row", F.col("score").alias("more"))
     scored = sought.join(rest, ["item", "row"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0)))
-    result = top(scored.where("score > 0"), k).join(names, "item")
+    result = top(scored.where("score > 0"), k).join(names.select("item", "id"), "item")
     result = written(result.select(F.col("id").alias("item_id"), "rank", "doc_id", "score"), "ranking")
     spark.sql(f"DROP TABLE {table}")
     return result
