@@ -14,7 +14,7 @@ from tidemark.operators import stats as N
 from tidemark.operators.temporal import first_per_key, near_in_time
 from tidemark.plans.composites import PRIORS, cells, moves, priors
 from tidemark.plans.retrieval import CO, FACTS, NEAR, facts, query_set, vectors
-from tidemark.plans.windows import BARS, KEY, ORDER, PANEL, PARTS, Z, panel, returns
+from tidemark.plans.windows import BARS, KEY, ORDER, PANEL, Z, panel, returns
 from tidemark.registry import query, table
 
 
@@ -236,16 +236,6 @@ def v05_cause_walk(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT vec_id, round(list_inner_product(a[1:63], b[2:64]) - list_inner_product(b[1:63], a[2:64]), 6) + 0.0 AS lead FROM p""")
-def v08_text_direction(spark: SparkSession, d: str) -> DataFrame:
-    """How far one vector leads the other: its score under a one-way map (a shift) less the score the other way."""
-    v = vectors(spark, d).select("vec_id", F.expr("transform(embedding, e -> double(e))").alias("a"))
-    p = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    score = lambda x, y: F.expr(f"aggregate(zip_with(slice({x}, 1, 63), slice({y}, 2, 63), (p, q) -> p * q), 0d, (s, z) -> s + z)")
-    return p.select("vec_id", (F.round(score("a", "b") - score("b", "a"), 6) + 0.0).alias("lead"))
-
-
 @query("""WITH h AS (SELECT l_orderkey AS hypothesis, count(DISTINCT l_suppkey) AS peers, bool_or(l_suppkey % 10 = 3) AS macro, count(*) FILTER (l_returnflag = 'R') AS down, count(*) FILTER (l_returnflag = 'A') AS up, sum(l_quantity) / 350 AS raw FROM lineitem GROUP BY 1)
 SELECT hypothesis, peers, CASE WHEN down > 0 AND up > 0 THEN 'contradicted' WHEN macro THEN 'macro' WHEN peers < 2 THEN 'thin' ELSE 'grounded' END AS verdict,
   round(CASE WHEN down > 0 AND up > 0 THEN least(raw, 0.3) WHEN macro THEN least(raw, 0.5) WHEN peers < 2 THEN least(raw, 0.4) ELSE least(raw, 1) END, 6) AS confidence FROM h""")
