@@ -113,7 +113,7 @@ def test_removal_of_nothing(spark, frames):
 
 LISTED = [("Acme Widgets Inc", "ACM"), ("Acme Widgets", "ACB"), ("Golden Harbour Mining PLC", "GHM"), ("Northern Lights Energy", "NLE"), ("Ace", "ACE"), (None, "NIL"), ("The Company", "TC")]
 MACRO = [("crude oil", "USO"), ("Japan", "EWJ"), ("gold", "GLD"), ("u k equities", "EWU")]
-RULES = [(1, "high yield", "HYG"), (2, "rate", "TNX"), (3, "treasur", "TLT"), (4, "oil", "XOP"), (4, "gas", "UNG")]
+RULES = [(1, "high yield", "HYG"), (2, "rate", "TNX"), (3, "treasur", "TLT"), (4, "oil", "XOP"), (5, "gas", "UNG")]
 ENTITIES = [
     (1, "ACME WIDGETS, INC.", "company"), (2, "Acme Widgetts", "company"), (3, "Golden Harbor Mining", "company"), (4, "Crude oil futures", "commodity"), (5, "the Japan", "country"),
     (6, "Gold prices", "company"), (7, "US high yields", "asset_class"), (8, "Infratel", "other"), (9, "Corporate rates", "other"), (10, "treasury", "rate_or_bond"), (11, "Oily gas", "other"),

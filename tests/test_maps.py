@@ -9,6 +9,7 @@ from tidemark.operators import finder as H
 from tidemark.operators import linear as L
 from tidemark.operators import neighbours as K
 from tidemark.operators import transport as M
+from tidemark.plans import finder
 
 registry.load()
 SF = "/root/testdata/sf0.01"
@@ -175,10 +176,17 @@ def test_cell_graph_is_close_to_the_exact_one(spark):
 
 
 def test_finder_modes(spark):
-    rows = registry.QUERIES["g12_multi_hop"](spark, SF).collect()
-    assert {r.mode for r in rows} == set(H.MODES) and {r.via for r in rows} == {"chain", "direct"}
-    assert all(r.node < r.query for r in rows)
-    assert all(r.via == "direct" for r in rows if r.mode == "onehop")
+    """With three seeds the walk has to bring in what is no seed itself."""
+    v = finder.both_forms(spark, SF)
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("q"))
+    rows = H.multi_hop(asked, v, finder.cause_graph(v), seeds=3).collect()
+    assert {r.mode for r in rows} == set(H.MODES) and all(r.node < r.query for r in rows)
+    of = lambda mode, query: {r.node: r for r in rows if r.mode == mode and r.query == query}
+    for q in (100, 200, 300, 400):
+        seeds, chain = of("onehop", q), of("chain", q)
+        assert len(seeds) == 3 and len(chain) == 8 and all(r.via == "direct" for r in seeds.values())
+        assert all((r.via == "chain") == (n not in seeds) for n, r in chain.items())
+        assert [n for n, r in sorted(of("union", q).items(), key=lambda x: x[1]["rank"])][0] in seeds
 
 
 def test_margin_refit_lowers_the_hinges_it_trains_on(spark):
