@@ -8,6 +8,7 @@ from tidemark import registry
 from tidemark.operators import finder as H
 from tidemark.operators import linear as L
 from tidemark.operators import neighbours as K
+from tidemark.operators import retrieval as R
 from tidemark.operators import transport as M
 from tidemark.plans import finder
 
@@ -169,6 +170,29 @@ def test_walk_equals_power_iteration(spark):
             assert np.allclose(got[q], s)
 
 
+@pytest.mark.parametrize("lead, seeds, idle", [(2000, 40, 0.6), (5, 3, 0.6), (5, 3, 1.0), (1, 1, 0.1)])
+def test_best_sums_lose_no_document(spark, monkeypatch, lead, seeds, idle):
+    """Common and rare terms, with ties: the same as scoring every document."""
+    for name, value in (("LEAD", lead), ("SEEDS", seeds), ("IDLE", idle)):
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(11)
+    share = np.r_[np.full(6, 0.8), np.full(10, 0.2), np.full(30, 0.02)]
+    gain = {(t, d): float(np.round(rng.random() * (0.3 if t < 6 else 2.0), 2)) + 0.01 for t in range(46) for d in range(300) if rng.random() < share[t]}
+    wanted = {q: set(rng.choice(46, 12, False).tolist()) for q in range(8)} | {8: {0, 1}, 9: {45}, 10: {99}}
+    postings = spark.createDataFrame([(t, d, g) for (t, d), g in gain.items()], "term int, doc int, gain double")
+    terms = spark.createDataFrame([(q, t) for q, ts in wanted.items() for t in ts] * 2, "query int, term int")
+    for k in (1, 10):
+        want = []
+        for q, ts in wanted.items():
+            score = {}
+            for (t, d), g in gain.items():
+                if t in ts:
+                    score[d] = score.get(d, 0) + g
+            want += [(q, d, round(s, 6), r) for r, (d, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k], 1)]
+        got = [(r["query"], r.doc, round(r.score, 6), r["rank"]) for r in R.best_sums(terms, postings, k).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_cell_graph_is_close_to_the_exact_one(spark):
     exact = {(r.effect, r.cause) for r in registry.QUERIES["g12_cause_graph"](spark, SF).collect()}
     cells = {(r.effect, r.cause) for r in registry.QUERIES["g12_cell_graph"](spark, SF).collect()}

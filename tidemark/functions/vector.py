@@ -21,5 +21,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), size), F.lit(0.0)))
+    """The vector at length one; a zero vector stays."""
+    # The length stands in an array of its own: inside the lambda it would be computed for each coordinate.
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))

@@ -20,7 +20,7 @@ ROWS, LEAST_DAYS = 2000, 15
 SUMS = ["n", "x", "y", "xx", "yy", "xy"]
 
 
-def _matrix(rows: pd.Series) -> np.ndarray:
+def matrix(rows: pd.Series) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(len(rows), -1)
 
 
@@ -29,8 +29,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.where(size > 1e-12, m / np.maximum(size, 1e-12), 0)
 
 
-def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Correlation of each row of ``a`` with each of ``b`` over the days that both have; NaN under ``LEAST_DAYS``."""
+def together(a: np.ndarray, b: np.ndarray, least: int = LEAST_DAYS) -> np.ndarray:
+    """Correlation of each row of ``a`` with each of ``b`` over the days that both have; NaN under ``least`` of them."""
     here, there = ~np.isnan(a), ~np.isnan(b)
     # About the rows' own means, so that large levels do not drown the differences.
     a, b = (np.where(k, m - np.nansum(m, 1, keepdims=True) / np.maximum(k.sum(1, keepdims=True), 1), 0) for m, k in ((a, here), (b, there)))
@@ -39,7 +39,7 @@ def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     some = np.maximum(n, 1)
     sa, sb = a @ q.T, p @ b.T
     va, vb = (a * a) @ q.T - sa * sa / some, p @ (b * b).T - sb * sb / some
-    ok = (n >= LEAST_DAYS) & (va > 1e-12) & (vb > 1e-12)
+    ok = (n >= least) & (va > 1e-12) & (vb > 1e-12)
     return np.where(ok, (a @ b.T - sa * sb / some) / np.sqrt(np.where(ok, va * vb, 1)), np.nan)
 
 
@@ -56,9 +56,9 @@ def _blocks(events: DataFrame, firms: DataFrame, schema: str, of_block: Callable
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return empty
-        exposure = _unit(_matrix(a["vector"])) @ _unit(_matrix(b["vector"])).T
+        exposure = _unit(matrix(a["vector"])) @ _unit(matrix(b["vector"])).T
         named = np.array([np.isin(b["firm"].to_numpy(), np.asarray(names)) for names in a["names"]])
-        return of_block(a, b, exposure, together(_matrix(a["basket"]), _matrix(b["series"])), named)
+        return of_block(a, b, exposure, together(matrix(a["basket"]), matrix(b["series"])), named)
 
     by = ["_e", "_f"]
     return e.groupBy(*by).cogroup(f.groupBy(*by)).applyInPandas(meet, schema)

@@ -9,19 +9,25 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a new temporary one in local mode, else an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder (a temporary one in local tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        found = sc.getConf().get("spark.checkpoint.dir", None)
-        if not found and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -46,11 +52,12 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
     Mass of nodes without edges goes back to the seeds, so it sums to one.
     """
+    edges = saved(edges)
     total = seeds.agg(F.sum("mass").alias("total"))
     p = seeds.join(F.broadcast(total)).select("node", (F.col("mass") / F.col("total")).alias("p"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(seeds.select("node")).distinct().join(p, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
     nodes = saved(nodes)
-    degree = edges.groupBy("a").agg(F.sum("weight").alias("d"))
+    degree = saved(edges.groupBy("a").agg(F.sum("weight").alias("d")))
     out = saved(edges.join(degree, "a").select("a", "b", (F.col("weight") / F.col("d")).alias("share")))
     rank = nodes.withColumn("r", F.col("p"))
     for i in range(rounds):

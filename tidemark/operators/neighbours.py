@@ -1,10 +1,11 @@
 """Nearest neighbours of all vectors of a table: exact by blocks, or by cells round coarse centres.
 
-Both ways deal out pairs of packed blocks of at most about ``ROWS`` vectors, one matrix
-product each, and shuffle only the best ``k`` of a block.  The exact way pairs every
-query block with every item block.  The cell way puts an item in the cell of its
-nearest centre, and a query meets the items of its ``probes`` nearest cells; a cell with
-more than ``ROWS`` items is split, so no task holds a hot cell.
+Both ways bring blocks of items to blocks of queries, each packed in one row of at most about
+``ROWS`` vectors.  A task multiplies them one pair after the other and keeps the best ``k`` of each
+query as it goes, so what is shuffled on is ``k`` rows a query and task.  The exact way brings every
+item block to every query block.  The cell way puts items and queries in the cell of
+their nearest centre and brings a query block the items of the ``probes`` cells nearest to its own; a
+cell of more than ``ROWS`` rows is several blocks, so no task holds a hot cell.
 """
 
 from __future__ import annotations
@@ -40,21 +41,42 @@ def _packed(df: DataFrame, keys: list[str], ident: str, vec: str, name: str) ->
     return rows.groupBy(*keys).applyInPandas(pack, ", ".join(f"{k} int" for k in keys) + f", {name}_ids binary, {name}_vectors binary")
 
 
+def _kept(row: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each row by rounded score, ties to the smaller item."""
+    order = np.lexsort((item, -np.round(score, 9), row))
+    row, item, score = row[order], item[order], score[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if row.size else np.zeros(0, int)
+    place = np.arange(row.size) - np.repeat(first, np.diff(np.r_[first, row.size]))
+    return row[place < k], item[place < k], score[place < k]
+
+
 def _best(k: int, earlier: bool):
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, qs = None, np.zeros(0, np.int64)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"query": qs[held[0]], "item": held[1], "score": held[2]})
+
         for batch in batches:
-            for q_ids, q_vectors, i_ids, i_vectors in zip(batch["q_ids"], batch["q_vectors"], batch["i_ids"], batch["i_vectors"], strict=True):
-                qs, items = np.frombuffer(q_ids, np.int64), np.frombuffer(i_ids, np.int64)
+            for q_block, q_ids, q_vectors, i_ids, i_vectors in zip(batch["q_block"], batch["q_ids"], batch["q_vectors"], batch["i_ids"], batch["i_vectors"], strict=True):
+                if q_block != block:
+                    yield out()
+                    block, qs, held = q_block, np.frombuffer(q_ids, np.int64), (held[0][:0], held[1][:0], held[2][:0])
+                items = np.frombuffer(i_ids, np.int64)
                 q, x = np.frombuffer(q_vectors).reshape(qs.size, -1), np.frombuffer(i_vectors).reshape(items.size, -1)
+                found = [held]
                 for at in range(0, qs.size, STEP):
                     s = q[at : at + STEP] @ x.T
                     if earlier:
                         s[items[None, :] >= qs[at : at + STEP, None]] = -np.inf
                     top = min(k, items.size)
                     edge = np.partition(s, items.size - top, axis=1)[:, items.size - top]
-                    # Ties at the edge stay in; the final ranking decides them by id.
+                    # Ties at the edge stay in until the ids decide.
                     r, c = np.nonzero((s >= edge[:, None] - 1e-9) & np.isfinite(s))
-                    yield pd.DataFrame({"query": qs[at + r], "item": items[c], "score": s[r, c]})
+                    found.append((at + r, items[c], s[r, c]))
+                held = _kept(*(np.concatenate(p) for p in zip(*found, strict=True)), k)
+        yield out()
 
     return best
 
@@ -63,8 +85,10 @@ def _parts(rows: int) -> int:
     return max(1, -(-rows // ROWS))
 
 
-def _ranked(pairs: DataFrame, k: int, earlier: bool) -> DataFrame:
-    found = pairs.select("q_ids", "q_vectors", "i_ids", "i_vectors").mapInPandas(_best(k, earlier), "query long, item long, score double")
+def _ranked(met: DataFrame, k: int, earlier: bool) -> DataFrame:
+    """``met`` has q_block, part and both packs; a task that gets a query block's items in a row gives ``k`` rows a query."""
+    met = met.sortWithinPartitions("q_block", "part").select("q_block", "q_ids", "q_vectors", "i_ids", "i_vectors")
+    found = met.mapInPandas(_best(k, earlier), "query long, item long, score double")
     return first_per_key(found, ["query"], [F.round("score", 9).desc(), F.col("item")], rank="rank", most=k)
 
 
@@ -76,9 +100,8 @@ def exact(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, q
     """
     parts, q_parts = _parts(items.count()), _parts(queries.count())
     own = _packed(items.withColumn("part", F.pmod(F.xxhash64(item), F.lit(parts)).cast("int")), ["part"], item, x, "i")
-    asked = _packed(queries.withColumn("q_part", F.pmod(F.xxhash64(query), F.lit(q_parts)).cast("int")), ["q_part"], query, q, "q")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return _ranked(asked.join(own, "part"), k, earlier)
+    asked = _packed(queries.withColumn("q_block", F.pmod(F.xxhash64(query), F.lit(q_parts)).cast("int")), ["q_block"], query, q, "q")
+    return _ranked(own.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).join(asked, "q_block"), k, earlier)
 
 
 def centres(items: DataFrame, item: str, x: str, cells: int, rounds: int = 8, sample: int = SAMPLE) -> np.ndarray:
@@ -97,31 +120,33 @@ def centres(items: DataFrame, item: str, x: str, cells: int, rounds: int = 8, sa
     return c
 
 
+def _order(centre: np.ndarray) -> np.ndarray:
+    """For each cell all cells, the nearest first; each comes first for itself."""
+    near = centre @ centre.T
+    np.fill_diagonal(near, np.inf)
+    return np.argsort(-near, axis=1, kind="stable")
+
+
 def by_cells(queries: DataFrame, items: DataFrame, k: int, centre: np.ndarray, probes: int, earlier: bool = False, query: str = "query", q: str = "q", item: str = "item", x: str = "x") -> DataFrame:
-    """As :func:`exact`, but a query meets only the items of its ``probes`` nearest cells."""
+    """As :func:`exact`, but a query meets only the items of the ``probes`` cells nearest to its own."""
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast(centre)
-    probes = min(probes, len(centre))
 
-    def near(n: int):
-        @F.pandas_udf("array<int>")
-        def cells(v: pd.Series) -> pd.Series:
-            if not len(v):
-                return pd.Series([], dtype=object)
-            s = _matrix(v) @ shared.value.T
-            return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :n]))
+    @F.pandas_udf("int")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(v) @ shared.value.T).argmax(1).astype(np.int32)) if len(v) else pd.Series([], dtype=np.int32)
 
-        return cells
+    def placed(df: DataFrame, ident: str, vec: str) -> DataFrame:
+        """Rows with their cell and a part of it; there are at most ``MOST_CELLS`` sizes to broadcast."""
+        rows = saved(df.select(ident, vec).withColumn("cell", home(vec)))
+        sizes = rows.groupBy("cell").agg((F.floor((F.count("*") - 1) / ROWS) + 1).cast("int").alias("parts"))
+        return rows.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(ident), "parts").cast("int"))
 
-    placed = saved(items.withColumn("cell", near(1)(x)[0]))
-    sizes = placed.groupBy("cell").agg((F.floor((F.count("*") - 1) / ROWS) + 1).cast("int").alias("parts"))
-    placed = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(item), "parts").cast("int"))
-    asked = saved(queries.withColumn("cell", F.explode(near(probes)(q))))
-    q_sizes = asked.groupBy("cell").agg((F.floor((F.count("*") - 1) / ROWS) + 1).cast("int").alias("q_parts"))
-    asked = asked.join(F.broadcast(q_sizes), "cell").withColumn("q_part", F.pmod(F.xxhash64(query), "q_parts").cast("int"))
-    packs = _packed(asked, ["cell", "q_part"], query, q, "q").join(F.broadcast(sizes), "cell")
-    packs = packs.select("cell", "q_ids", "q_vectors", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return _ranked(packs.join(_packed(placed, ["cell", "part"], item, x, "i"), ["cell", "part"]), k, earlier)
+    near = _order(centre)[:, : max(1, probes)]
+    route = spark.createDataFrame(pd.DataFrame({"home": np.repeat(np.arange(len(centre)), near.shape[1]), "cell": near.ravel()}), "home int, cell int")
+    own = _packed(placed(items, item, x), ["cell", "part"], item, x, "i").join(route, "cell").select("home", F.struct("cell", "part").alias("part"), "i_ids", "i_vectors")
+    asked = _packed(placed(queries, query, q), ["cell", "part"], query, q, "q").select(F.col("cell").alias("home"), (F.col("cell").cast("long") * (1 << 20) + F.col("part")).alias("q_block"), "q_ids", "q_vectors")
+    return _ranked(asked.join(own, "home"), k, earlier)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> float:
@@ -134,14 +159,15 @@ def probes_for(queries: DataFrame, items: DataFrame, k: int, centre: np.ndarray,
     """The least number of probed cells that reaches the recall ``target`` on a sample of queries.
 
     At most ``sample`` queries, those of the least hash, are answered exactly; for each true
-    neighbour the place of its cell among the query's cells is the number of probes it needs.
+    neighbour the place of its cell among those near the query's cell is the number of probes
+    it needs.
     """
     asked = queries.orderBy(F.xxhash64(query), query).limit(sample).select(F.col(query).alias("query"), F.col(q).alias("q"))
     truth = exact(asked, items, k, earlier, "query", "q", item, x).select("query", "item")
     both = truth.join(asked, "query").join(items.select(F.col(item).alias("item"), F.col(x).alias("x")), "item").select("q", "x").toPandas()
     if not len(both):
         return 1
-    order = np.argsort(-(_matrix(both["q"]) @ centre.T), axis=1, kind="stable")
+    order = _order(centre)[(_matrix(both["q"]) @ centre.T).argmax(1)]
     home = (_matrix(both["x"]) @ centre.T).argmax(1)
     need = np.sort((order == home[:, None]).argmax(1) + 1)
     return int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)])

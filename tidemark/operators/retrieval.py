@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vector as V
+from tidemark.operators.graph import saved
 from tidemark.operators.temporal import first_per_key
 
 K1, B = 1.2, 0.75
@@ -43,10 +44,51 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
 
 def bm25(queries: DataFrame, index: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
     """Best ``k`` documents a query; query terms count once."""
-    terms = query_terms(queries, query_id, text)
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = terms.join(index, "term").groupBy("query", "doc").agg(F.sum(weight).alias("score"))
-    return first_per_key(scored, ["query"], [F.round("score", 9).desc(), F.col("doc")], rank="rank", most=k)
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    return best_sums(query_terms(queries, query_id, text), index.select("term", "doc", gain.alias("gain")), k)
+
+
+#: Postings of a query's rarest terms that name its first documents, how many of these, and the
+#: share of the floor that the terms which do not seek may reach together.
+LEAD, SEEDS, IDLE = 2000, 40, 0.6
+
+
+def best_sums(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``query, doc, score, rank``: the ``k`` documents with the greatest sum of positive gains over a query's terms.
+
+    ``terms`` has query, term; ``postings`` term, doc, gain.  Exact, but common terms do not score the
+    whole corpus: documents that hold a query's rarest terms set a floor that the k-th best
+    reaches; terms whose greatest gains together stay under a share of it do not seek
+    documents, and only documents that may still reach the floor get those terms' gains.
+    """
+    held = saved(postings)
+    stats = held.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("most"))
+    t = saved(terms.distinct().join(stats, "term"))
+
+    def top(df: DataFrame, n: int) -> DataFrame:
+        return first_per_key(df.withColumn("_s", F.round("score", 9)), ["query"], [F.desc("_s"), F.col("doc")], rank="rank", most=n).drop("_s")
+
+    def sums(chosen: DataFrame) -> DataFrame:
+        return chosen.select("query", "term").join(held, "term").groupBy("query", "doc").agg(F.sum("gain").alias("score"))
+
+    def of_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+        few = held.join(pairs.select("doc").distinct(), "doc", "left_semi")
+        near = pairs.select("query", "doc").join(chosen.select("query", "term"), "query")
+        return near.join(few, ["term", "doc"]).groupBy("query", "doc").agg(F.sum("gain").alias("score"))
+
+    before = F.coalesce(F.sum("df").over(W.partitionBy("query").orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lead = t.withColumn("_before", before).where(F.col("_before") < LEAD)
+    seeds = saved(top(sums(lead), max(SEEDS, k)).select("query", "doc"))
+    floors = top(of_pairs(seeds, t), k).groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("floor"))
+    up_to = F.sum("most").over(W.partitionBy("query").orderBy("most", "term").rowsBetween(W.unboundedPreceding, W.currentRow))
+    t = t.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("up_to", up_to)
+    t = saved(t.withColumn("idle", F.col("up_to") < IDLE * F.col("floor")))
+    reach = t.groupBy("query").agg(F.max("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("idle"), F.col("up_to"))), F.lit(0.0)).alias("rest"))
+    # The slack keeps what only rounding puts under the floor.
+    sought = sums(t.where("NOT idle")).join(reach, "query").where(F.col("score") + F.col("rest") >= F.col("floor") - 1e-6).select("query", "doc", "score")
+    sought = saved(sought)
+    rest = of_pairs(sought, t.where("idle")).select("query", "doc", F.col("score").alias("more"))
+    return top(sought.join(rest, ["query", "doc"], "left").select("query", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), k)
 
 
 def _blocks(queries: DataFrame, query_id: str, query: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:

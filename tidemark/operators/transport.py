@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vector as V
-from tidemark.operators import linear as L
 from tidemark.operators.graph import saved
 
 #: Groups whose sums a task holds before it hands them on, and pairs of a group that are scored in one piece.
@@ -187,8 +186,14 @@ def metric(blocks: DataFrame, start: np.ndarray, rounds: int = 250, rate: float
 
 
 def carried(df: DataFrame, x: str, matrix: np.ndarray, out: str) -> DataFrame:
-    """``x`` times a map, at unit length."""
-    return L.mapped(df, x, matrix, out).withColumn(out, V.unit(F.col(out)))
+    """``x`` times a map, at unit length, by Arrow batches."""
+    shared = df.sparkSession.sparkContext.broadcast(matrix)
+
+    @F.pandas_udf("array<double>")
+    def carry(v: pd.Series) -> pd.Series:
+        return pd.Series(list(_unit(_matrix(v) @ shared.value))) if len(v) else pd.Series([], dtype=object)
+
+    return df.withColumn(out, carry(x))
 
 
 def lead(a: Column, b: Column, carried_a: Column, carried_b: Column) -> Column:

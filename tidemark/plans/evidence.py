@@ -233,9 +233,3 @@ def x08_option_surface(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem")
     at = lambda k: F.min_by("l_discount", F.struct(F.abs(F.col("l_quantity") - k), "l_linenumber", "l_discount"))
     return x.groupBy("l_orderkey").agg(F.round(at(25), 6).alias("atm_iv"), F.round(at(20) - at(25), 6).alias("skew"))
-
-
-@query(f"WITH {PANEL}, c AS (SELECT symbol, sector, ret >= avg(ret) OVER (PARTITION BY symbol) AS kept FROM panel) SELECT sector, count(*) AS n, round(avg(kept::INT), 6) AS kept FROM c GROUP BY 1")
-def n19_persistence(spark: SparkSession, d: str) -> DataFrame:
-    c = panel(spark, d).withColumn("kept", (F.col("ret") >= F.avg("ret").over(W.partitionBy("symbol"))).cast("int"))
-    return c.groupBy("sector").agg(F.count("*").alias("n"), F.round(F.avg("kept"), 6).alias("kept"))

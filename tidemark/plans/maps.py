@@ -27,13 +27,13 @@ UNIT = "v AS (SELECT vec_id, label, list_transform(x, lambda y: y / sqrt(list_in
 PAIRS = "p AS (SELECT b.vec_id AS pair, a.e AS a, b.e AS b, b.label AS predicate, b.label % 4 AS desk, a.vec_id % 5 = 0 AS test FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)"
 
 
-def solved(name: str, source: str, size: str = "(SELECT max(len(e)) FROM v)", right: str = "list_inner_product(x.a, y.b)") -> str:
+def solved(name: str, source: str, size: str = "(SELECT max(len(e)) FROM v)", right: str = "list_inner_product(x.a, y.b)", strength: float = STRENGTH) -> str:
     """CTEs that end in ``name``: g, n, columns of the ridge map of each group g of ``source`` (g, pair, a, b), by elimination.
 
-    ``size`` is the vectors' length and ``right`` a cell of the right-hand side.
+    ``size`` is the vectors' length, ``right`` a cell of the right-hand side.
     """
     return f"""{name}_cols AS (SELECT g, i, count(*) AS n, list(a[i] ORDER BY pair) AS a, list(b[i] ORDER BY pair) AS b FROM ({source}), range(1, {size} + 1) t(i) GROUP BY g, i),
-{name}_gram AS (SELECT x.g, x.i, max(x.n) AS n, list(list_inner_product(x.a, y.a) + CASE WHEN x.i = y.i THEN {STRENGTH} ELSE 0 END ORDER BY y.i) || list({right} ORDER BY y.i) AS r FROM {name}_cols x JOIN {name}_cols y ON x.g = y.g GROUP BY x.g, x.i),
+{name}_gram AS (SELECT x.g, x.i, max(x.n) AS n, list(list_inner_product(x.a, y.a) + CASE WHEN x.i = y.i THEN {strength} ELSE 0 END ORDER BY y.i) || list({right} ORDER BY y.i) AS r FROM {name}_cols x JOIN {name}_cols y ON x.g = y.g GROUP BY x.g, x.i),
 {name}_steps AS (SELECT g, max(n) AS n, 0 AS k, list(r ORDER BY i) AS m FROM {name}_gram GROUP BY g UNION ALL
   SELECT g, n, k + 1, list_transform(m, lambda r, j: CASE WHEN j = k + 1 THEN pr ELSE list_transform(r, lambda x, c: x - r[k + 1] * pr[c]) END)
   FROM (SELECT g, n, k, m, list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1]) AS pr FROM {name}_steps WHERE k < len(m))),

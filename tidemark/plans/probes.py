@@ -16,6 +16,8 @@ from tidemark.operators.graph import saved
 from tidemark.operators.order import rank_all
 from tidemark.operators.temporal import first_per_key
 from tidemark.plans.maps import STRENGTH, UNIT, carry, cos, fitted, pairs, solved, unit_vectors
+from tidemark.plans.stats import m14_risk_on
+from tidemark.plans.windows import PANEL
 from tidemark.registry import query, table
 
 #: A vector causes those so many places on; hashes of pairs that split and balance them.
@@ -138,6 +140,58 @@ def m10_symbol_scores(spark: SparkSession, d: str) -> DataFrame:
     return top.select(F.col("query").alias("doc"), F.col("item").alias("symbol"), "rank", F.round("score", 6).alias("score"))
 
 
+#: Vectors belong to days by their ids modulo the month; a day needs three of them and a reading of the market.
+RISK = f"""{UNIT}, {PANEL}, sectors AS (SELECT day, avg(ret) FILTER (sector = 0) AS a, avg(ret) FILTER (sector = 1) AS b, avg(ret) FILTER (sector = 2) AS c FROM panel GROUP BY 1),
+risk AS (SELECT day, round((a - avg(a) OVER ()) / stddev_pop(a) OVER () - (b - avg(b) OVER ()) / stddev_pop(b) OVER () - 0.5 * (c - avg(c) OVER ()) / stddev_pop(c) OVER (), 5) AS risk FROM sectors), base AS (SELECT min(day) AS d0 FROM panel),
+told AS (SELECT vec_id, d0 + (vec_id % 30)::INT AS day, e FROM v, base), sums AS (SELECT day, i, avg(e[i]) AS x FROM told, range(1, (SELECT max(len(e)) + 1 FROM v)) t(i) GROUP BY ALL),
+raw AS (SELECT day, list(x ORDER BY i) AS m FROM sums WHERE day IN (SELECT day FROM told GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1),
+days AS (SELECT day, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-9)) AS e, risk, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM raw JOIN risk USING (day)),
+{solved("probe", "SELECT 0 AS g, k AS pair, e AS a, list_prepend(risk, list_transform(e[2:], lambda x: 0.0)) AS b FROM days WHERE k <= round(0.7 * n)", strength=0.1)}"""
+
+
+def regime(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Days with ``test``, ``risk`` and predicted ``p``, and every vector's place ``score`` on the axis that predicts risk."""
+    v = saved(unit_vectors(spark, d).select("vec_id", "e"))
+    risk = m14_risk_on(spark, d)
+    base = F.lit(risk.agg(F.min("day")).first()[0]).cast("date")
+    told = v.withColumn("day", F.date_add(base, (F.col("vec_id") % 30).cast("int")))
+    cells = told.select("day", F.posexplode("e").alias("i", "x")).groupBy("day", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n")).where("n >= 3")
+    days = cells.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select("day", V.unit(F.col("c.x")).alias("e")).join(risk.withColumnRenamed("risk_on", "risk"), "day")
+    days = saved(rank_all(days, ["day"], "k"))
+    first = round(0.7 * days.count())
+    days = days.withColumn("test", F.col("k") > first)
+    weights = L.probe(days.where("NOT test"), "e", "risk", 0.1)
+    axis = F.array(*[F.lit(float(x)) for x in weights])
+    return days.select("day", "test", "risk", F.round(V.dot(F.col("e"), axis), 9).alias("p")), v.select("vec_id", F.round(V.dot(F.col("e"), axis), 9).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {RISK}, t AS (SELECT day, risk, round(list_inner_product(e, w[1]), 9) AS p FROM days, probe WHERE k > round(0.7 * days.n)),
+r AS (SELECT *, row_number() OVER (ORDER BY p, day) AS rp, row_number() OVER (ORDER BY risk, day) AS rr, p - median(p) OVER () AS dp, risk - median(risk) OVER () AS dr FROM t)
+SELECT (SELECT count(*) FROM days) - count(*) AS train, count(*) AS test, round(corr(rp, rr), 6) AS spearman, count(*) FILTER (abs(dp) >= 1e-9 AND abs(dr) >= 1e-9) AS decisive, count(*) FILTER (abs(dp) >= 1e-9 AND abs(dr) >= 1e-9 AND sign(dp) = sign(dr)) AS agree FROM r""")
+def m13_regime_axis(spark: SparkSession, d: str) -> DataFrame:
+    """Market risk from the centroid of a day's vectors, on the latest three tenths of the days: rank correlation and direction."""
+    days, _ = regime(spark, d)
+    t = saved(days.where("test"))
+    rho = P.spearman(t, "p", "risk", "day")
+    mid = t.agg(F.percentile("p", 0.5).alias("mp"), F.percentile("risk", 0.5).alias("mr"))
+    apart = t.join(F.broadcast(mid)).select((F.col("p") - F.col("mp")).alias("dp"), (F.col("risk") - F.col("mr")).alias("dr"))
+    clear = (F.abs("dp") >= 1e-9) & (F.abs("dr") >= 1e-9)
+    s = apart.agg(F.count("*").alias("test"), F.count_if(clear).alias("decisive"), F.count_if(clear & (F.signum("dp") == F.signum("dr"))).alias("agree"))
+    return s.select(F.lit(days.where("NOT test").count()).cast("long").alias("train"), "test", F.round(F.lit(rho).cast("double"), 6).alias("spearman"), "decisive", "agree")
+
+
+@query(f"""WITH RECURSIVE {RISK}, s AS (SELECT vec_id, round(list_inner_product(e, w[1]), 9) AS score FROM v, probe), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS up, row_number() OVER (ORDER BY score, vec_id) AS down FROM s)
+SELECT 'on' AS pole, up AS rank, vec_id, round(score, 6) AS score FROM r WHERE up <= 8 UNION ALL SELECT 'off', down, vec_id, round(score, 6) FROM r WHERE down <= 8""")
+def m13_regime_poles(spark: SparkSession, d: str) -> DataFrame:
+    """The eight vectors furthest out on either side of the learned axis."""
+    _, s = regime(spark, d)
+    sides = []
+    for pole, order in (("on", [F.desc("score"), F.col("vec_id")]), ("off", [F.col("score"), F.col("vec_id")])):
+        top = s.orderBy(*order).limit(8)
+        sides.append(first_per_key(top.withColumn("pole", F.lit(pole)), ["pole"], order, rank="rank", most=8))
+    return sides[0].union(sides[1]).select("pole", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
 #: Rank of the learned metric, a sixth of the vectors' length.
 RANK, KS = 10, [5, 10, 30, 100]
 

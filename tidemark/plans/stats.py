@@ -126,10 +126,14 @@ def n16_mcnemar(spark: SparkSession, d: str) -> DataFrame:
     return N.mcnemar(x, "a", "b").select("only_a", "only_b", F.round("chi2", 6).alias("chi2"))
 
 
-@query(f"WITH {PANEL} SELECT symbol, day FROM panel QUALIFY rank() OVER (PARTITION BY symbol ORDER BY abs(ret) DESC) <= 3")
+@query(f"""WITH {PANEL}, r AS (SELECT symbol, day, abs(ret / nullif(lag(ret) OVER w, 0) - 1) AS move FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY day)), k AS (SELECT *, greatest(1, count(*) OVER (PARTITION BY symbol) * 10 // 100) AS k FROM r WHERE move IS NOT NULL)
+SELECT symbol, day, round(move, 6) AS move FROM k QUALIFY rank() OVER (PARTITION BY symbol ORDER BY move DESC) <= k""")
 def n17_jumps(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("symbol").orderBy(F.abs("ret").desc())
-    return panel(spark, d).withColumn("k", F.rank().over(w)).where("k <= 3").select("symbol", "day")
+    """The largest tenth of each series' absolute returns, one at least; all that equal the smallest of them count."""
+    r = panel(spark, d).withColumn("move", F.abs(F.try_divide("ret", F.lag("ret").over(W.partitionBy("symbol").orderBy("day"))) - 1)).where("move IS NOT NULL")
+    k = r.withColumn("k", F.greatest(F.lit(1), F.floor(F.count("*").over(W.partitionBy("symbol")) * 10 / 100)))
+    k = k.withColumn("place", F.rank().over(W.partitionBy("symbol").orderBy(F.desc("move")))).where(F.col("place") <= F.col("k"))
+    return k.select("symbol", "day", F.round("move", 6).alias("move"))
 
 
 @query("""WITH t AS (SELECT ntile(10) OVER (ORDER BY value DESC, event_id) AS step, (event_id % 3 = 0)::INT AS c FROM events), p AS (SELECT step, sum(c) AS c, count(*) AS n FROM t GROUP BY 1)

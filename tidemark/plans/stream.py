@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import shared_folder
 from tidemark.registry import query, table
 from tidemark.sources import files as S
 from tidemark.streaming import micro as M
@@ -15,8 +15,7 @@ from tidemark.streaming import micro as M
 
 def _work(spark: SparkSession) -> str:
     """A new folder that driver and executors share; a temporary one in local tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base}/{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
@@ -41,8 +40,9 @@ def r01_incremental_pass(spark: SparkSession, d: str) -> DataFrame:
     source.write.parquet(landed)
     into = f"{work}/sink"
 
-    def each(batch: DataFrame, _: int) -> None:
-        batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("append").parquet(into)
+    def each(batch: DataFrame, number: int) -> None:
+        # A folder of its own: a batch that is run again after a failure replaces what it wrote.
+        batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{into}/batch={number}")
 
     M.incremental(spark.readStream.schema(source.schema).parquet(landed), each, f"{work}/checkpoint").start().awaitTermination()
     return spark.read.parquet(into).groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 3).alias("total"))
