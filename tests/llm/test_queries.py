@@ -35,6 +35,7 @@ def test_pipeline(spark):
         n = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == n > 0.5 * 200
+    assert last.where("NOT lossless").count() == 0
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == sorted(r.doc_id for r in last.select("doc_id").collect())
 
 
@@ -44,3 +45,15 @@ def test_pipeline_survives_odd_documents(spark, docs, corpus):
         if name != "quality classifier":
             df = stage(spark, df, SF)
     assert df.count() > 10
+
+
+def test_stages_keep_columns_named_like_their_own(spark, docs):
+    """Columns of the user's with the names that stages work with stay what they were."""
+    names = ["score", "__score", "n_lines", "n_removed", "__lines", "kept", "kept_of", "__kept", "digest", "__digest", "kept_digest", "tag", "__tag", "of", "known", "ids", "_score", "_kept"]
+    texts = [f"document {i} tells of {' '.join(f'thing{(i * k) % 41}' for k in range(1, 30))} and ends here" for i in range(12)]
+    df = docs([*enumerate(texts), (20, texts[3]), (21, texts[4] + " again")], names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns, name
+        assert {tuple(r[n] for n in names) for r in got.collect()} <= {("mine",) * len(names)}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == df.count()

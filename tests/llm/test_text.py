@@ -225,6 +225,35 @@ def test_media(docs, corpus):
     assert got[104].media_sha256 == got[105].media_sha256
 
 
+def unsized(ident, body):
+    return ident.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+
+
+def test_clusters_of_unknown_size():
+    """A live stream: clusters without sizes, cues after them, and a second segment."""
+    e, u, m = media_matroska._element, media_matroska._uint, media_matroska
+    cluster = lambda time, data: unsized(m.CLUSTER, u(m.TIMESTAMP, time) + e(m.SIMPLE_BLOCK, b"\x81\0\0\x80" + data))
+    cues = e(m.CUES, e(m.CUE_POINT, u(m.CUE_TIME, 7) + e(m.CUE_POSITIONS, u(m.CUE_TRACK, 1) + u(m.CUE_CLUSTER, 3))))
+    tags = e(0x1254C367, b"")
+    body = m._TRACKS + cluster(0, b"one") + cluster(5, b"two") + tags + cluster(9, b"three") + cues
+    media = m._HEADER + unsized(m.SEGMENT, body) + m._HEADER + unsized(m.SEGMENT, cluster(1, b"four"))
+    packets, found, error = m.packet_rows(media)
+    assert error is None and [(p[1], media[p[3] : p[3] + p[4]]) for p in packets] == [(0, b"one"), (5, b"two"), (9, b"three"), (1, b"four")]
+    assert found == [(7, 1, len(m._HEADER) + 12 + 3)]
+    # Known and unknown sizes mixed, and a file that ends in the middle of a block.
+    sized = e(m.CLUSTER, u(m.TIMESTAMP, 2) + e(m.SIMPLE_BLOCK, b"\x81\0\0\x80six"))
+    packets, _, error = m.packet_rows(m._HEADER + unsized(m.SEGMENT, cluster(0, b"five") + sized + cluster(3, b"seven"))[:-2])
+    assert len(packets) == 2 and error and "past its parent" in error
+
+
+def test_packets_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"junk"))], "packets long, media binary")
+    got = media_matroska.packets(df).collect()
+    assert [r.error is None for r in got] == [False] * 3 and all(r.packets == [] and r.cues == [] for r in got)
+    assert media_matroska.packets(df.limit(0)).count() == 0
+    assert media_matroska.digest(media_matroska.store(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
 @pytest.mark.parametrize("size", [64, 512, 576, 4096, 4160, 65536, 70016])
 def test_packet_table_covers_the_payload(size):
     payload = random.Random(size).randbytes(size)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import Bitmap, prepare, slots, written
+from tidemark.llm.shared import Bitmap, fresh, prepare, slots, written
 
 WINDOW, SHINGLE = 13, 3
 BROADCAST_ROWS = 200_000
@@ -189,7 +189,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the contaminated ones; all columns stay."""
-    found = find_items(documents, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__of"), F.col("tag").alias("__known"))
+    own, of, known = fresh(documents, "tag", "of", "known")
+    found = find_items(documents, benchmark).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(of), F.col("tag").alias(known))
     others = [c for c in documents.columns if c != "text"]
     rows = documents.select("text", *others)
 
@@ -197,10 +198,10 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
         for part, data, offsets in tk.text_chunks(batches):
             hashes, first = _words(data, offsets)
             tag = tk.signed(tk.Sequence(hashes).of(first[:-1], first[1:]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tag)], names=[*part.schema.names, "__tag"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tag)], names=[*part.schema.names, own])
 
-    rows = rows.mapInArrow(tagged, T.StructType([*rows.schema.fields, T.StructField("__tag", T.LongType())]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.col("__tag") == F.col("__known"))
+    rows = rows.mapInArrow(tagged, T.StructType([*rows.schema.fields, T.StructField(own, T.LongType())]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(known))
     return rows.join(written(found, "contaminated"), same, "left_anti").select(*documents.columns)
 
 

@@ -3,8 +3,7 @@
 ``mux`` stores a payload as one track of unsigned 8-bit PCM samples: an EBML header,
 then a segment with info, tracks, clusters of simple blocks and cues.  Blocks hold
 several frames by lacing (fixed-size where all frames are equal, else EBML).
-``packets`` walks the elements of any Matroska file that keeps to known or unknown sizes and gives one row a frame,
-with track, timestamp, key flag and byte range; ``cues`` gives the seek table.  The
+``packets`` walks the elements of any Matroska file and gives one row a frame, with track, timestamp, key flag and byte range; ``cues`` gives the seek table.  The
 payload is what the packets' byte ranges hold, read from the stored bytes.
 
 The walk follows element sizes and never searches for patterns, so its cost is that of
@@ -13,7 +12,10 @@ and an ``error``.
 
 Defined cases: a null payload counts as empty and is padded to 64 zero bytes; null media
 gives no packets and ``error`` "no data".  Equal payloads give equal files (nothing
-depends on time or identity).  Each row is handled alone, so repeated rows repeat.
+depends on time or identity).  Each row is handled alone, so repeated rows repeat, and an empty
+table gives an empty one.  A segment or cluster of unknown size, as in live streams, ends before
+the next element that it cannot hold.  Other columns stay; those named like an added one are
+replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x15
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 TIMESTAMP_SCALE, TRACK_NUMBER, DOC_TYPE = 0x2AD7B1, 0xD7, 0x4282
-MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP}
+#: What may have no size, and the ids that end it: those of its own level and above.
+_FILE = {EBML, SEGMENT}
+_TOP = _FILE | {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
+ENDED_BY = {SEGMENT: _FILE, CLUSTER: _TOP}
 
 PAD = 64
 #: Samples a second: one sample a millisecond tick of the default scale is too coarse for long payloads' clusters.
@@ -126,17 +131,31 @@ def _vint(data: bytes, at: int, keep: bool) -> tuple[int, int, bool]:
     return (raw if keep else raw & ones), at + width, raw & ones == ones
 
 
+def _reach(data: bytes, at: int, stop: int, ident: int) -> int:
+    """Where an element of unknown size ends: before the next element that it cannot hold, or with its parent."""
+    while at < stop:
+        try:
+            child, body, _ = _vint(data, at, True)
+            if child in ENDED_BY[ident]:
+                return at
+            size, body, unknown = _vint(data, body, False)
+        except ValueError:
+            return stop
+        at = _reach(data, body, stop, child) if unknown and child in ENDED_BY else body + size
+    return stop
+
+
 def elements(data: bytes, at: int, stop: int) -> Iterator[tuple[int, int, int]]:
-    """``id, start, end`` of the bodies in a range; an unknown size reaches to its end."""
+    """``id, start, end`` of the bodies in a range, of known and unknown sizes."""
     while at < stop:
         ident, at, _ = _vint(data, at, True)
         size, at, unknown = _vint(data, at, False)
-        end = stop if unknown else at + size
+        if unknown and ident not in ENDED_BY:
+            raise ValueError(f"element {ident:x} has no size")
+        end = _reach(data, at, stop, ident) if unknown else at + size
         if end > stop:
             raise ValueError(f"element {ident:x} runs past its parent at {at}")
         yield ident, at, end
-        if unknown and ident not in MASTERS:
-            raise ValueError(f"element {ident:x} has no size")
         at = end
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shingle_join
 from tidemark.llm import textkit as tk
-from tidemark.llm.shared import components, prepare, written
+from tidemark.llm.shared import components, fresh, prepare, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Largest bucket that is verified pair by pair.
@@ -123,10 +123,11 @@ def keep_one(documents: DataFrame) -> DataFrame:
     classes = written(named.groupBy("class").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), first), "classes")
     joined = components(shingle_join.links(classes, tagged))
     rooted = classes.join(joined, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__kept"), F.col("first.digest").alias("__kept_digest"))
-    rows = documents.withColumn("__digest", digest)
-    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__digest"]).select(*documents.columns)
+    own, of, stays = fresh(documents, "digest", "kept", "kept_digest")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of), F.col("first.digest").alias(stays))
+    rows = documents.withColumn(own, digest)
+    rows = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(stays)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).select(*documents.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, str, int]]:
