@@ -51,7 +51,7 @@ def _blocks(events: DataFrame, firms: DataFrame, schema: str, of_block: Callable
     events, firms = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (events, firms))
     e = events.withColumn("_e", F.pmod(F.xxhash64("event"), F.lit(e_parts)).cast("int")).withColumn("_f", every(f_parts))
     f = firms.withColumn("_f", F.pmod(F.xxhash64("firm"), F.lit(f_parts)).cast("int")).withColumn("_e", every(e_parts))
-    empty = pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")})
+    empty = pd.DataFrame({c.split(" ")[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -75,17 +75,33 @@ def abstain(queries: DataFrame, hits: DataFrame, key: str, value: str, marker: o
 def contains_quote(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_id: str, quote: str) -> DataFrame:
     """Pairs of texts and the quotes they hold.
 
-    A quote's longest inner word is a whole word of any text that holds it, so texts
-    and quotes meet on words and only then is containment tested.  Quotes without an inner
-    word are tested against every text; there are few.
+    A quote's longest inner word is a whole word of any text that holds it, so the words of the texts
+    meet the quotes first, without the texts; these join back for the pairs that are left, and only
+    then is containment tested.  Quotes without an inner word (two words at most) meet texts on the
+    three-letter pieces at their start; those shorter than that are tested against every text,
+    and are few, as there are few such strings.
     """
     inner = lambda c: F.slice(F.split(c, " ", -1), F.lit(2), F.greatest(F.size(F.split(c, " ", -1)) - 2, F.lit(0)))
     longest = F.array_max(F.transform(F.filter(inner(F.col(quote)), lambda w: (w != "") & ~F.contains(w, F.lit("\n"))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = quotes.withColumn("_word", longest)
-    words = texts.select(text_id, text, F.explode(F.array_distinct(F.split(text, r"[ \n]", -1))).alias("_word"))
-    found = words.join(keyed.where("_word IS NOT NULL"), "_word").where(F.contains(text, F.col(quote))).select(text_id, quote_id)
-    rest = texts.join(F.broadcast(keyed.where("_word IS NULL")), F.contains(F.col(text), F.col(quote))).select(text_id, quote_id)
-    return found.union(rest)
+    keyed = quotes.select(quote_id, quote, longest.alias("_word")).where(F.col(quote).isNotNull())
+    told = texts.where(F.col(text).isNotNull())
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(told.select(text_id, text), text_id).join(quotes.select(quote_id, quote), quote_id)
+        return both.where(F.contains(text, F.col(quote))).select(text_id, quote_id).distinct()
+
+    words = told.select(text_id, F.explode(F.array_distinct(F.split(text, r"[ \n]", -1))).alias("_word"))
+    met = words.join(keyed.where("_word IS NOT NULL").select(quote_id, "_word"), "_word").select(text_id, quote_id)
+    rest = keyed.where("_word IS NULL").select(quote_id, quote)
+    if rest.isEmpty():
+        return tested(met)
+    starts = rest.where(F.length(quote) >= 3).select(quote_id, F.substring(quote, 1, 3).alias("_start"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(F.col(text), i, F.lit(3)))
+    begun = told.where(F.length(text) >= 3).select(text_id, F.explode(F.array_distinct(pieces)).alias("_start"))
+    begun = begun.join(starts.select("_start").distinct(), "_start", "left_semi").join(starts, "_start").select(text_id, quote_id)
+    short = rest.where(F.length(quote) < 3)
+    tiny = told.join(F.broadcast(short), F.contains(F.col(text), F.col(quote))).select(text_id, quote_id)
+    return tested(met).union(tested(begun)).union(tiny)
 
 
 #: Word stems that say which way something moved, in order of precedence.

@@ -38,7 +38,8 @@ def _packed(df: DataFrame, keys: list[str], ident: str, vec: str, name: str) ->
         return pd.DataFrame(one | {f"{name}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{name}_vectors": [_matrix(pdf["v"]).tobytes()]})
 
     rows = df.select(*keys, F.col(ident).cast("long").alias("id"), F.col(vec).alias("v"))
-    return rows.groupBy(*keys).applyInPandas(pack, ", ".join(f"{k} int" for k in keys) + f", {name}_ids binary, {name}_vectors binary")
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(*keys).applyInPandas(pack, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {name}_ids binary, {name}_vectors binary")
 
 
 def _kept(row: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,6 +105,22 @@ def exact(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, q
     return _ranked(own.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).join(asked, "q_block"), k, earlier)
 
 
+def within(queries: DataFrame, items: DataFrame, k: int, group: str, earlier: bool = False, query: str = "query", q: str = "q", item: str = "item", x: str = "x") -> DataFrame:
+    """As :func:`exact`, but a query meets only the items of its own ``group``; a null group has none.
+
+    A group of more than ``ROWS`` rows is several blocks on either side.
+    """
+
+    def placed(df: DataFrame, ident: str, vec: str, part: str) -> DataFrame:
+        sizes = df.groupBy(group).agg((F.floor((F.count("*") - 1) / ROWS) + 1).cast("int").alias("_n"))
+        return df.select(group, ident, vec).join(sizes, group).withColumn(part, F.pmod(F.xxhash64(ident), "_n").cast("int"))
+
+    own = _packed(placed(items, item, x, "part"), [group, "part"], item, x, "i")
+    asked = _packed(placed(queries, query, q, "q_part"), [group, "q_part"], query, q, "q")
+    met = asked.withColumn("q_block", F.concat_ws("|", F.col(group).cast("string"), "q_part")).join(own, group)
+    return _ranked(met, k, earlier)
+
+
 def centres(items: DataFrame, item: str, x: str, cells: int, rounds: int = 8, sample: int = SAMPLE) -> np.ndarray:
     """Unit centres by spherical k-means over at most ``sample`` items, those of the least hash."""
     cells = min(cells, MOST_CELLS)

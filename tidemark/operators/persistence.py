@@ -30,7 +30,7 @@ def standing(series: DataFrame, floor: float, least: tuple[int, int]) -> DataFra
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in ("window", *SUMS)})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("window", *SUMS)})
         before, after = together(matrix(a["x"]), matrix(b["x"]), least[0]), together(matrix(a["y"]), matrix(b["y"]), least[1])
         ok = (before > floor) & (after == after)
         if a["_i"].iloc[0] == a["_j"].iloc[0]:

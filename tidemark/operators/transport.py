@@ -82,7 +82,7 @@ def directions(pairs: DataFrame, key: str, a: str, b: str, group: str, maps: Dat
 
     def score(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({key: [], group: [], "ahead": [], "own_ahead": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (key, group, "ahead", "own_ahead")})
         x, y = _unit(_matrix(rows[a])), _unit(_matrix(rows[b]))
 
         def ahead(w: np.ndarray) -> np.ndarray:

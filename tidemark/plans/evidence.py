@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions import vector as V
 from tidemark.operators import graph as G
+from tidemark.operators import neighbours as K
+from tidemark.operators import retrieval as R
 from tidemark.operators import series as S
 from tidemark.operators.temporal import first_per_key
 from tidemark.plans.retrieval import CO, facts
@@ -85,14 +88,18 @@ def j17_dictionary_grounding(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH m AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT m.vec_id AS market, e.vec_id AS news, m.label = e.label AS shared, list_cosine_similarity(m.embedding::DOUBLE[], e.embedding::DOUBLE[]) + CASE WHEN m.label = e.label THEN 0.25 ELSE 0 END AS score FROM m, embeddings e WHERE m.vec_id <> e.vec_id)
 SELECT market, news, round(score, 6) AS score FROM s WHERE shared OR score >= 0.3 QUALIFY row_number() OVER (PARTITION BY market ORDER BY round(score, 9) DESC, news) <= 5""")
 def j20_market_news_links(spark: SparkSession, d: str) -> DataFrame:
-    """Likeness with a bonus for a shared symbol; the markets are the stated query set."""
-    from tidemark.functions import vector as V
-
-    v = table(spark, d, "embeddings")
-    m = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("market"), F.col("embedding").alias("q"), F.col("label").alias("symbol"))
-    s = v.join(F.broadcast(m), F.col("vec_id") != F.col("market"))
-    shared = F.col("label") == F.col("symbol")
-    s = s.select("market", F.col("vec_id").alias("news"), shared.alias("shared"), (V.cosine(F.col("q"), F.col("embedding")) + F.when(shared, 0.25).otherwise(0.0)).alias("score")).where("shared OR score >= 0.3")
+    """Likeness with a bonus for a shared symbol; the markets are the stated query set.
+
+    News without the symbol that is among a market's five is among the five most alike of all news, as
+    whatever is more alike stands before it with or without the bonus.
+    """
+    v = G.saved(table(spark, d, "embeddings").select("vec_id", "label", V.unit(F.col("embedding")).alias("u")))
+    m = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("market"), F.col("u").alias("q"), F.col("label").alias("symbol"))
+    alike = R.top_k(m, v, 6, query_id="market", vec="u").select("market", F.col("vec_id").alias("news"), "score")
+    alike = alike.join(v.select(F.col("vec_id").alias("news"), "label"), "news").join(m.select("market", "symbol"), "market").where("label <> symbol").select("market", "news", "score")
+    shared = K.within(m.withColumnRenamed("symbol", "label"), v, 6, "label", query="market", q="q", item="vec_id", x="u")
+    shared = shared.select(F.col("query").alias("market"), F.col("item").alias("news"), (F.col("score") + 0.25).alias("score"))
+    s = shared.union(alike.where("score >= 0.3")).where("market <> news")
     return first_per_key(s, ["market"], [F.round("score", 9).desc(), F.col("news")], most=5).select("market", "news", F.round("score", 6).alias("score"))
 
 

@@ -233,3 +233,35 @@ def s41_graph_export(spark: SparkSession, d: str) -> DataFrame:
     edges = files.csv(spark, f"{work}/edges", "a string, b string, weight long")
     nodes = files.json_lines(spark, f"{work}/nodes", "id string, weight long")
     return edges.select(F.lit("edge").alias("kind"), F.col("a").alias("id"), F.col("b").alias("other"), "weight").unionByName(nodes.withColumn("kind", F.lit("node")), allowMissingColumns=True)
+
+
+@query("SELECT doc_id, source, text FROM documents WHERE doc_id % 3 = 0")
+def s07_first_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus in days of three part files each; the feed reads the first one of a day."""
+    path = f"{_work(spark)}/feed"
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int"))
+    a = table(spark, d, "documents").select("doc_id", "source", "text", day.alias("dt"))
+    a.repartitionById(3, (F.col("doc_id") % 3).cast("int")).write.partitionBy("dt").parquet(path)
+    return files.first_parts(spark, path, "doc_id long, source string, text string").select("doc_id", "source", "text")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), f AS (SELECT o_orderkey AS fact_id, o_orderkey // 4 AS doc_id, CASE WHEN o_orderkey % 7 > 0 THEN epoch(o_orderdate)::BIGINT ELSE 0 END AS published_epoch,
+  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END::DOUBLE AS direction, CASE o_orderkey % 3 WHEN 0 THEN (o_custkey % 90 + 10) / 100 WHEN 1 THEN (o_custkey % 90 + 10) END::DOUBLE AS magnitude, CASE WHEN o_orderpriority LIKE '1%' THEN 'top|urgent' ELSE lower(o_orderpriority) || '|top' END AS entities FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT fact_id, doc_id, published_epoch, direction, magnitude, entities, CASE WHEN x IS NOT NULL THEN round(sqrt(list_inner_product(x, x)) / sqrt(list_inner_product(x, x)), 6) END AS length FROM f LEFT JOIN e ON vec_id = fact_id""")
+def s42_fact_export(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as facts, normalised and written as JSON lines with their unit vectors, and both read back."""
+    path = f"{_work(spark)}/export"
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    figure = (F.col("o_custkey") % 90 + 10).cast("string")
+    urgent = F.col("o_orderpriority").startswith("1")
+    f = o.select(
+        k.alias("fact_id"), F.expr("o_orderkey div 4").alias("doc_id"), F.when(k % 7 > 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise("soon").alias("published"), F.when(k % 11 == 0, " ").otherwise("a claim").alias("claim"),
+        F.lit(None).cast("string").alias("predicate"), F.when(F.col("o_orderstatus") == "F", "up").when(F.col("o_orderstatus") == "O", "down").alias("direction"), F.lit(None).cast("double").alias("confidence"),
+        F.when(k % 3 == 0, F.concat(figure, F.lit(" bps"))).when(k % 3 == 1, F.concat(F.lit("about "), figure)).alias("magnitude"), F.lit("src").alias("source_name"), F.lit(None).cast("string").alias("desk"),
+        F.when(urgent, F.array(F.lit(" URGENT"), F.lit("Top "), F.lit("urgent"), F.lit(""))).otherwise(F.array(F.upper("o_orderpriority"), F.lit("peak"))).alias("entities"), F.lit(None).cast("array<string>").alias("cause_entities"),
+    )
+    files.export_facts(f, table(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding"), path, {"peak": "top"})
+    back = files.json_lines(spark, f"{path}/facts", "fact_id long, doc_id long, published_epoch long, direction double, magnitude double, entities array<string>")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    both = back.join(spark.read.parquet(f"{path}/vectors"), "fact_id", "left")
+    return both.select("fact_id", "doc_id", "published_epoch", "direction", "magnitude", F.array_join("entities", "|").alias("entities"), F.round(length, 6).alias("length"))

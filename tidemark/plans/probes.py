@@ -140,6 +140,44 @@ def m10_symbol_scores(spark: SparkSession, d: str) -> DataFrame:
     return top.select(F.col("query").alias("doc"), F.col("item").alias("symbol"), "rank", F.round("score", 6).alias("score"))
 
 
+#: Documents in twos are of one event where their languages agree; how many sources tell of it is its corroboration.
+SOURCES = f"""{UNIT}, told AS (SELECT doc_id, source, count(DISTINCT source) OVER (PARTITION BY doc_id // 2, lang) AS corrob FROM documents), facts AS (SELECT vec_id, e, source, corrob, (label + 1) / 10 AS confidence, vec_id * 2654435761 % 100 < 30 AS test FROM v JOIN told ON doc_id = vec_id),
+{solved("probe", "SELECT 0 AS g, vec_id AS pair, e AS a, list_prepend(corrob::DOUBLE, list_transform(e[2:], lambda x: 0.0)) AS b FROM facts WHERE NOT test")}"""
+
+
+def corroborated(spark: SparkSession, d: str) -> DataFrame:
+    """``vec_id, e, source, corrob, confidence, test``."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.expr("doc_id div 2").alias("event"))
+    sources = docs.groupBy("event", "lang").agg(F.countDistinct("source").alias("corrob"))
+    told = docs.join(sources, ["event", "lang"])
+    v = unit_vectors(spark, d).join(told.select(F.col("doc_id").alias("vec_id"), "source", "corrob"), "vec_id")
+    return saved(v.select("vec_id", "e", "source", "corrob", ((F.col("label") + 1) / 10).alias("confidence"), (F.col("vec_id") * F.lit(2654435761) % 100 < 30).alias("test")))
+
+
+@query(f"""WITH RECURSIVE {SOURCES}, t AS (SELECT vec_id, corrob, (corrob >= 2)::INT AS y, confidence, round(list_inner_product(e, w[1]), 9) AS p FROM facts, probe WHERE test),
+r AS (SELECT row_number() OVER (ORDER BY p, vec_id) AS rp, row_number() OVER (ORDER BY corrob, vec_id) AS rc FROM t),
+auc AS (SELECT avg(CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS p, avg(CASE WHEN a.confidence > b.confidence THEN 1 WHEN a.confidence = b.confidence THEN 0.5 ELSE 0 END) AS c FROM t a JOIN t b ON a.y = 1 AND b.y = 0)
+SELECT (SELECT count(*) FROM facts WHERE NOT test) AS train, (SELECT count(*) FROM t) AS test, (SELECT round(corr(rp, rc), 6) FROM r) AS spearman, round(p, 6) AS probe_auc, round(c, 6) AS confidence_auc FROM auc""")
+def m12_source_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Corroboration from the vector: rank correlation, and telling what two sources report from what one does, beside plain confidence."""
+    facts = corroborated(spark, d)
+    train = facts.where("NOT test")
+    weights = L.probe(train, "e", "corrob", STRENGTH)
+    score = F.round(V.dot(F.col("e"), F.array(*[F.lit(float(x)) for x in weights])), 9)
+    t = saved(facts.where("test").select("vec_id", "corrob", (F.col("corrob") >= 2).cast("int").alias("y"), "confidence", score.alias("p")))
+    rho = P.spearman(t, "p", "corrob", "vec_id")
+    rows = N.auc(t, "y", "p").select(F.round("auc", 6).alias("probe_auc"), F.col("n").alias("test")).join(N.auc(t, "y", "confidence").select(F.round("auc", 6).alias("confidence_auc")))
+    return rows.select(F.lit(train.count()).cast("long").alias("train"), "test", F.round(F.lit(rho).cast("double"), 6).alias("spearman"), "probe_auc", "confidence_auc")
+
+
+@query(f"""WITH {UNIT}, told AS (SELECT doc_id, source, count(DISTINCT source) OVER (PARTITION BY doc_id // 2, lang) AS corrob FROM documents), s AS (SELECT source, count(*) AS n, round(avg((label + 1) / 10), 6) AS confidence, round(avg(corrob), 6) AS corrob, round(avg((corrob >= 2)::INT), 6) AS share FROM v JOIN told ON doc_id = vec_id GROUP BY 1)
+SELECT source, n, confidence, corrob, share FROM s QUALIFY row_number() OVER (ORDER BY n DESC, source) <= 12""")
+def m12_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve sources with most facts: their mean confidence, mean corroboration and the share that others confirm."""
+    s = corroborated(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.avg("corrob"), 6).alias("corrob"), F.round(F.avg((F.col("corrob") >= 2).cast("int")), 6).alias("share"))
+    return s.orderBy(F.desc("n"), "source").limit(12)
+
+
 #: Vectors belong to days by their ids modulo the month; a day needs three of them and a reading of the market.
 RISK = f"""{UNIT}, {PANEL}, sectors AS (SELECT day, avg(ret) FILTER (sector = 0) AS a, avg(ret) FILTER (sector = 1) AS b, avg(ret) FILTER (sector = 2) AS c FROM panel GROUP BY 1),
 risk AS (SELECT day, round((a - avg(a) OVER ()) / stddev_pop(a) OVER () - (b - avg(b) OVER ()) / stddev_pop(b) OVER () - 0.5 * (c - avg(c) OVER ()) / stddev_pop(c) OVER (), 5) AS risk FROM sectors), base AS (SELECT min(day) AS d0 FROM panel),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vector as V
 from tidemark.operators import graph as G
+from tidemark.operators import neighbours as K
 from tidemark.operators import retrieval as R
 from tidemark.operators.temporal import first_per_key
 from tidemark.registry import query, table
@@ -377,7 +378,6 @@ def j16_corroboration(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH n AS (SELECT a.vec_id, a.label, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS m FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id GROUP BY ALL) SELECT vec_id, round(1 - m, 6) AS novelty FROM n""")
 def w27_novelty(spark: SparkSession, d: str) -> DataFrame:
     """One less the greatest cosine to an earlier vector of the same label; null for the first."""
-    v = vectors(spark, d).select("vec_id", "label", V.unit(F.col("embedding")).alias("u"))
-    b = v.select("label", F.col("vec_id").alias("other"), F.col("u").alias("w"))
-    best = v.join(b, "label").where("other < vec_id").groupBy("vec_id").agg(F.max(V.dot(F.col("u"), F.col("w"))).alias("m"))
+    v = G.saved(vectors(spark, d).select("vec_id", "label", V.unit(F.col("embedding")).alias("u")))
+    best = K.within(v, v, 1, "label", earlier=True, query="vec_id", q="u", item="vec_id", x="u").select(F.col("query").alias("vec_id"), F.col("score").alias("m"))
     return v.select("vec_id").join(best, "vec_id", "left").select("vec_id", F.round(1 - F.col("m"), 6).alias("novelty"))

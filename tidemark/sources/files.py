@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import text as TX
+from tidemark.functions import vector as V
 from tidemark.operators.order import rank_all
 
 ARTICLE = "doc_id string, source_name string, source_scope string, source_tier int, source_access string, source_method string, source_domain string, desks array<string>, discovery string, title string, body_text string, author string, url string, canonical_url string, lang string, word_count int, extraction_ok boolean, published_utc string, published_date string, published_is_estimated boolean, fetched_utc string, content_hash string"
@@ -28,6 +30,34 @@ def corpus(spark: SparkSession, root: str, start: str | None = None, end: str |
     return df
 
 
+def first_parts(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """A feed over a corpus partitioned by ``dt`` that reads only the first part file of each day."""
+    return spark.read.schema(f"{schema}, dt date").option("basePath", root).option("pathGlobFilter", "part-00000-*").parquet(root)
+
+
+def export_facts(facts: DataFrame, vectors: DataFrame, path: str, aliases: dict[str, str] | None = None) -> None:
+    """Facts for the map fits: normalised records as JSON lines, and the unit vectors of the same facts beside them.
+
+    ``facts`` has fact_id, doc_id, published, claim, predicate, direction, confidence, magnitude,
+    source_name, desk, entities, cause_entities as text (the last two arrays); ``vectors``
+    fact_id, embedding.  Facts without a claim are left out; names are lower-cased, mapped by
+    ``aliases``, distinct and in order; unknown times are 0, unknown magnitudes null.
+    """
+    known = {k.lower(): v for k, v in (aliases or {}).items()}
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else None
+    low = lambda e: F.lower(F.trim(e))
+    name = lambda e: F.coalesce(F.try_element_at(table, low(e)), low(e)) if table is not None else low(e)
+    names = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda e: F.trim(e) != ""), name)))
+    rows = facts.where("trim(claim) <> ''").select(
+        "fact_id", "doc_id", F.coalesce(TX.epoch(F.try_to_timestamp("published")), F.lit(0).cast("long")).alias("published_epoch"), F.substring("published", 1, 10).alias("date"),
+        F.substring("claim", 1, 240).alias("claim"), F.coalesce("predicate", F.lit("other")).alias("predicate"), TX.direction_sign(F.col("direction")).cast("double").alias("direction"),
+        F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), TX.number_in(F.col("magnitude")).alias("magnitude"), F.coalesce("source_name", F.lit("")).alias("source_name"),
+        F.coalesce("desk", F.lit("other")).alias("desk"), names(F.col("entities")).alias("entities"), names(F.col("cause_entities")).alias("cause_entities"),
+    )
+    rows.write.option("ignoreNullFields", "false").json(f"{path}/facts")
+    vectors.join(rows.select("fact_id"), "fact_id", "left_semi").select("fact_id", V.unit(F.col("embedding")).alias("vector")).write.parquet(f"{path}/vectors")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and malformed ones are skipped."""
     return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad IS NULL").drop("_bad")
