@@ -1,8 +1,8 @@
 """Nearest neighbours of all vectors of a table: exact by blocks, or by cells round coarse centres.
 
 Both ways bring blocks of items to blocks of queries, each packed in one row of at most about
-``ROWS`` vectors.  A task multiplies them one pair after the other and keeps the best ``k`` of each
-query as it goes, so what is shuffled on is ``k`` rows a query and task.  The exact way brings every
+``ROWS`` vectors.  A query block meets its item blocks one after the other and keeps
+the best ``k`` of each query as it goes, so what is put out is ``k`` rows a query.  The exact way brings every
 item block to every query block.  The cell way puts items and queries in the cell of
 their nearest centre and brings a query block the items of the ``probes`` cells nearest to its own; a
 cell of more than ``ROWS`` rows is several blocks, so no task holds a hot cell.
@@ -53,18 +53,11 @@ def _kept(row: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple
 
 def _best(k: int, earlier: bool):
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, qs = None, np.zeros(0, np.int64)
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"query": qs[held[0]], "item": held[1], "score": held[2]})
-
+        """One query block with the item blocks that it meets, one after the other."""
+        qs, held = np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
-            for q_block, q_ids, q_vectors, i_ids, i_vectors in zip(batch["q_block"], batch["q_ids"], batch["q_vectors"], batch["i_ids"], batch["i_vectors"], strict=True):
-                if q_block != block:
-                    yield out()
-                    block, qs, held = q_block, np.frombuffer(q_ids, np.int64), (held[0][:0], held[1][:0], held[2][:0])
-                items = np.frombuffer(i_ids, np.int64)
+            for q_ids, q_vectors, i_ids, i_vectors in zip(batch["q_ids"], batch["q_vectors"], batch["i_ids"], batch["i_vectors"], strict=True):
+                qs, items = np.frombuffer(q_ids, np.int64), np.frombuffer(i_ids, np.int64)
                 q, x = np.frombuffer(q_vectors).reshape(qs.size, -1), np.frombuffer(i_vectors).reshape(items.size, -1)
                 found = [held]
                 for at in range(0, qs.size, STEP):
@@ -77,7 +70,7 @@ def _best(k: int, earlier: bool):
                     r, c = np.nonzero((s >= edge[:, None] - 1e-9) & np.isfinite(s))
                     found.append((at + r, items[c], s[r, c]))
                 held = _kept(*(np.concatenate(p) for p in zip(*found, strict=True)), k)
-        yield out()
+        yield pd.DataFrame({"query": qs[held[0]], "item": held[1], "score": held[2]})
 
     return best
 
@@ -86,10 +79,9 @@ def _parts(rows: int) -> int:
     return max(1, -(-rows // ROWS))
 
 
-def _ranked(met: DataFrame, k: int, earlier: bool) -> DataFrame:
-    """``met`` has q_block, part and both packs; a task that gets a query block's items in a row gives ``k`` rows a query."""
-    met = met.sortWithinPartitions("q_block", "part").select("q_block", "q_ids", "q_vectors", "i_ids", "i_vectors")
-    found = met.mapInPandas(_best(k, earlier), "query long, item long, score double")
+def _ranked(met: DataFrame, keys: list[str], k: int, earlier: bool) -> DataFrame:
+    """``met`` has a query block's pack, named by ``keys``, beside each item pack that it meets; the group is read in small batches."""
+    found = met.select(*keys, "q_ids", "q_vectors", "i_ids", "i_vectors").groupBy(*keys).applyInPandas(_best(k, earlier), "query long, item long, score double")
     return first_per_key(found, ["query"], [F.round("score", 9).desc(), F.col("item")], rank="rank", most=k)
 
 
@@ -102,7 +94,7 @@ def exact(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, q
     parts, q_parts = _parts(items.count()), _parts(queries.count())
     own = _packed(items.withColumn("part", F.pmod(F.xxhash64(item), F.lit(parts)).cast("int")), ["part"], item, x, "i")
     asked = _packed(queries.withColumn("q_block", F.pmod(F.xxhash64(query), F.lit(q_parts)).cast("int")), ["q_block"], query, q, "q")
-    return _ranked(own.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).join(asked, "q_block"), k, earlier)
+    return _ranked(own.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).join(asked, "q_block"), ["q_block"], k, earlier)
 
 
 def within(queries: DataFrame, items: DataFrame, k: int, group: str, earlier: bool = False, query: str = "query", q: str = "q", item: str = "item", x: str = "x") -> DataFrame:
@@ -117,8 +109,7 @@ def within(queries: DataFrame, items: DataFrame, k: int, group: str, earlier: bo
 
     own = _packed(placed(items, item, x, "part"), [group, "part"], item, x, "i")
     asked = _packed(placed(queries, query, q, "q_part"), [group, "q_part"], query, q, "q")
-    met = asked.withColumn("q_block", F.concat_ws("|", F.col(group).cast("string"), "q_part")).join(own, group)
-    return _ranked(met, k, earlier)
+    return _ranked(asked.join(own, group), [group, "q_part"], k, earlier)
 
 
 def centres(items: DataFrame, item: str, x: str, cells: int, rounds: int = 8, sample: int = SAMPLE) -> np.ndarray:
@@ -161,9 +152,9 @@ def by_cells(queries: DataFrame, items: DataFrame, k: int, centre: np.ndarray, p
 
     near = _order(centre)[:, : max(1, probes)]
     route = spark.createDataFrame(pd.DataFrame({"home": np.repeat(np.arange(len(centre)), near.shape[1]), "cell": near.ravel()}), "home int, cell int")
-    own = _packed(placed(items, item, x), ["cell", "part"], item, x, "i").join(route, "cell").select("home", F.struct("cell", "part").alias("part"), "i_ids", "i_vectors")
-    asked = _packed(placed(queries, query, q), ["cell", "part"], query, q, "q").select(F.col("cell").alias("home"), (F.col("cell").cast("long") * (1 << 20) + F.col("part")).alias("q_block"), "q_ids", "q_vectors")
-    return _ranked(asked.join(own, "home"), k, earlier)
+    own = _packed(placed(items, item, x), ["cell", "part"], item, x, "i").join(route, "cell").select("home", "i_ids", "i_vectors")
+    asked = _packed(placed(queries, query, q), ["cell", "part"], query, q, "q").select(F.col("cell").alias("home"), "part", "q_ids", "q_vectors")
+    return _ranked(asked.join(own, "home"), ["home", "part"], k, earlier)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> float:
