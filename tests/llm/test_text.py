@@ -61,6 +61,43 @@ def test_classifier_odd_inputs(docs, spark, corpus):
     assert quality_classifier.digest(docs([]), none).count() == 0
 
 
+def plain_statistics(text):
+    """The classifier's statistics of one text, word by word."""
+    raw = text.encode()
+    kinds = [quality_classifier._CLASS[b] for b in raw]
+    n = max(len(raw), 1)
+    shares = [kinds.count(k) / n for k in range(len(quality_classifier._CLASSES))]
+    words = raw.split()
+    some = max(len(words), 1)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / some
+    spread = max(0.0, sum(v * v for v in lengths) / some - mean * mean) ** 0.5
+    counts = {w: words.count(w) for w in set(words)}
+    same = [a == b for a, b in zip(words, words[1:], strict=False)]
+    longest = run = 0
+    for again in same:
+        run = run + 1 if again else 0
+        longest = max(longest, run)
+    pairs = set(zip(words, words[1:], strict=False))
+    lead = lambda w: 65 <= w[0] <= 90
+    shout = [lead(w) and len(w) > 1 and 65 <= w[1] <= 90 for w in words]
+    lines = [v for v in raw.split(b"\n") if v]
+    closed = sum(v[-1:] in (b".", b"?", b"!") for v in lines)
+    return [
+        *shares, np.log1p(len(words)), mean, spread, len(counts) / some, max(counts.values(), default=0) / some, sum(same) / some, longest,
+        len(pairs) / max(len(words) - 1, 1), sum(map(lead, words)) / some, sum(shout) / some,
+        np.log1p(len(lines)), len(words) / max(len(lines), 1), len(set(lines)) / max(len(lines), 1), closed / max(len(lines), 1),
+    ]
+
+
+def test_statistics_equal_plain_python(corpus):
+    texts = [t for _, t in corpus if t is not None] + ["a a a b b", "STOP! Now.\n\nYES? no\n", "x" * 3000, "\n", "A B", "word " * 20_000]
+    data, offsets = textkit.text_buffer(pa.array(texts))
+    got = quality_classifier.statistics(data, offsets)
+    assert got.shape == (len(texts), len(quality_classifier.STATISTICS))
+    assert np.allclose(got, np.array([plain_statistics(t) for t in texts]))
+
+
 def test_trees_fit_and_are_repeatable():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((600, 3))
