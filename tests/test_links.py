@@ -133,3 +133,20 @@ def test_feed_reads_first_parts_only(spark, tmp_path):
     df.repartitionById(2, F.col("part")).select("id", "dt").write.partitionBy("dt").parquet(path)
     got = files.first_parts(spark, path, "id long").collect()
     assert sorted(r.id for r in got) == list(range(0, 40, 2)) and len({r.dt for r in got}) == 5
+
+
+def test_sitemaps_through_indexes(spark):
+    import gzip
+
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = lambda *locs: f"<sitemapindex {ns}>{''.join(f'<sitemap><loc> {u} </loc></sitemap>' for u in locs)}</sitemapindex>".encode()
+    news = f'<urlset {ns} xmlns:n="urn:news"><url><loc>p1&amp;x</loc><lastmod>2024-01-01</lastmod><n:news><n:publication_date>2024-02-01T05:00:00Z</n:publication_date></n:news></url><url><lastmod>2024-01-01</lastmod></url></urlset>'
+    plain = f"<urlset {ns}><url><loc>p2</loc><lastmod>2023-01-01</lastmod></url><url><loc>p3</loc><lastmod>soon</lastmod></url><url><loc>p4</loc></url></urlset>"
+    rows = [("root", index("a", "b", "root")), ("a", gzip.compress(index("c", "b", "lost"))), ("b", gzip.compress(news.encode())), ("c", plain.encode()), ("alone", f"<urlset {ns}><url><loc>p9</loc></url></urlset>".encode()), ("bad", b"<urlset"), ("cut", gzip.compress(plain.encode())[:30]), ("none", None), ("html", b"<html><url><loc>x</loc></url></html>")]
+    landed = spark.createDataFrame(rows, "url string, body binary")
+    entries = files.sitemap_entries(landed)
+    seeds = spark.createDataFrame([("root",), ("bad",), ("cut",), ("none",), ("html",), ("nowhere",)], "sitemap string")
+    got = {r.loc: r.changed and r.changed.isoformat() for r in files.discover(entries, seeds).collect()}
+    assert got == {"p1&x": "2024-02-01T05:00:00", "p2": "2023-01-01T00:00:00", "p3": None, "p4": None}
+    assert {r.loc for r in files.discover(entries, seeds, "2024-01-15").collect()} == {"p1&x", "p3", "p4"}
+    assert files.discover(entries, seeds.limit(0)).collect() == [] and files.discover(files.sitemap_entries(landed.limit(0)), seeds).collect() == []

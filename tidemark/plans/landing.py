@@ -265,3 +265,26 @@ def s42_fact_export(spark: SparkSession, d: str) -> DataFrame:
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     both = back.join(spark.read.parquet(f"{path}/vectors"), "fact_id", "left")
     return both.select("fact_id", "doc_id", "published_epoch", "direction", "magnitude", F.array_join("entities", "|").alias("entities"), F.round(length, 6).alias("length"))
+
+
+@query("""WITH p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 28)::INT AS day, page_id % 3 = 0 AS news FROM pages WHERE url IS NOT NULL)
+SELECT url AS loc, CASE WHEN news THEN day + 1 ELSE day END::TIMESTAMP AS changed FROM p WHERE (page_id // 20) % 7 <> 6 AND CASE WHEN news THEN day + 1 ELSE day END >= DATE '2024-01-10'""")
+def s20_sitemap_index(spark: SparkSession, d: str) -> DataFrame:
+    """Landed sitemaps of twenty pages, every other one gzipped, some with news dates, listed by indexes that a root index lists."""
+    k, escaped = F.expr("page_id div 20"), F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 28 + n).cast("int")).cast("string")
+    news = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<n:news><n:publication_date>"), day(1), F.lit("</n:publication_date></n:news>"))).otherwise("")
+    one = F.concat(F.lit("<url><loc> "), escaped, F.lit("</loc><lastmod>"), day(0), F.lit("</lastmod>"), news, F.lit("</url>"))
+    sets = table(spark, d, "pages").where("url IS NOT NULL").groupBy(k.alias("k")).agg(F.concat_ws("", F.collect_list(one)).alias("inner"))
+    whole = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:n="http://www.google.com/schemas/sitemap-news/0.9">'), "inner", F.lit("</urlset>"))
+    index = lambda c: F.concat(F.lit("<sitemapindex>"), F.concat_ws("", F.collect_list(F.concat(F.lit("<sitemap><loc>"), c, F.lit("</loc></sitemap>")))), F.lit("</sitemapindex>"))
+    listed = sets.where("k % 7 <> 6").select(F.concat(F.lit("set-"), "k").alias("loc"), F.expr("k div 50").alias("up"))
+    indexes = listed.groupBy("up").agg(index("loc").alias("body")).select(F.concat(F.lit("index-"), "up").alias("url"), "body")
+    # The root lists itself, too, and something that was never landed.
+    roots = indexes.select("url").union(spark.createDataFrame([("root",), ("gone",)], "url string")).agg(index("url").alias("body")).select(F.lit("root").alias("url"), "body")
+    plain = sets.select(F.concat(F.lit("set-"), "k").alias("url"), whole.alias("body"), (F.col("k") % 2 == 1).alias("zipped"))
+    every = plain.unionByName(indexes.unionByName(roots).withColumn("zipped", F.lit(False)))
+    landed = f"{_work(spark)}/sitemaps"
+    every.select("url", F.when(F.col("zipped"), files.gzipped(F.col("body"))).otherwise(F.col("body").cast("binary")).alias("body")).write.parquet(landed)
+    found = files.discover(files.sitemap_entries(spark.read.parquet(landed)), spark.createDataFrame([("root",)], "sitemap string"), "2024-01-10")
+    return found.select("loc", F.col("changed").cast("timestamp_ntz").alias("changed"))

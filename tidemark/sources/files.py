@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text as TX
 from tidemark.functions import vector as V
+from tidemark.operators.graph import saved
 from tidemark.operators.order import rank_all
 
 ARTICLE = "doc_id string, source_name string, source_scope string, source_tier int, source_access string, source_method string, source_domain string, desks array<string>, discovery string, title string, body_text string, author string, url string, canonical_url string, lang string, word_count int, extraction_ok boolean, published_utc string, published_date string, published_is_estimated boolean, fetched_utc string, content_hash string"
@@ -106,6 +113,69 @@ def sitemap(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
 
 
+def gzipped(text: Column) -> Column:
+    """A text's gzip form; the same text, the same bytes."""
+
+    @F.pandas_udf("binary")
+    def pack(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: gzip.compress(t.encode(), mtime=0), na_action="ignore")
+
+    return pack(text)
+
+
+def _sitemap_rows(body: bytes | None) -> list[tuple[bool, str, str | None]]:
+    """Whether it is a child sitemap, location and last change, of an index or a set of URLs; names without their namespaces."""
+    name = lambda e: e.tag.rpartition("}")[2]
+    inside = lambda e, n: next(((c.text or "").strip() for c in e if name(c) == n), None)
+    try:
+        root = ElementTree.fromstring(gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body)
+    except (ElementTree.ParseError, OSError, EOFError, zlib.error, TypeError):
+        return []
+    out = []
+    for e in root:
+        loc = inside(e, "loc")
+        if loc and name(root) == "sitemapindex":
+            out.append((True, loc, None))
+        elif loc and name(root) == "urlset":
+            news = next((inside(c, "publication_date") for c in e if name(c) == "news"), None)
+            out.append((False, loc, news or inside(e, "lastmod")))
+    return out
+
+
+def sitemap_entries(landed: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
+    """``sitemap, child, loc, changed`` from landed bodies, plain or gzipped; what is no sitemap gives no rows.
+
+    ``changed`` is the news publication date where there is one, else the last change, null
+    where neither is a time.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(u, *r) for u, v in zip(b[url], b[body], strict=True) for r in _sitemap_rows(v)]
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(("sitemap", "child", "loc", "told"), zip(*rows, strict=True) if rows else ((),) * 4, strict=True)})
+
+    found = landed.select(F.col(url).cast("string").alias(url), F.col(body).cast("binary").alias(body)).mapInPandas(parse, "sitemap string, child boolean, loc string, told string")
+    return found.select("sitemap", "child", "loc", F.try_to_timestamp("told").alias("changed"))
+
+
+def discover(entries: DataFrame, seeds: DataFrame, since: str | None = None) -> DataFrame:
+    """``loc, changed`` of all pages that the seed sitemaps lead to through indexes; old ones are left out.
+
+    ``entries`` comes from :func:`sitemap_entries`, ``seeds`` has sitemap.  A round follows one level of
+    indexes, each sitemap once, so circles end.
+    """
+    entries = saved(entries)
+    links = entries.where("child").select("sitemap", F.col("loc").alias("to"))
+    seen = front = saved(seeds.select("sitemap").distinct())
+    while not front.isEmpty():
+        front = saved(links.join(front, "sitemap").select(F.col("to").alias("sitemap")).distinct().join(seen, "sitemap", "left_anti"))
+        seen = saved(seen.union(front))
+    pages = entries.where("NOT child").join(seen, "sitemap", "left_semi")
+    if since:
+        pages = pages.where(F.col("changed").isNull() | (F.col("changed") >= F.lit(since).cast("timestamp")))
+    return pages.select("loc", "changed")
+
+
 def calendar_events(spark: SparkSession, path: str) -> DataFrame:
     """``uid, summary, starts`` of landed iCalendar files: folded lines joined, one row an event."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r?\n[ \t]", "").alias("v"))
