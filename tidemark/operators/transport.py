@@ -117,8 +117,8 @@ def in_blocks(pairs: DataFrame, key: str, a: str, b: str, block: int = BLOCK) ->
 
 
 def partner(n: int, step: int) -> np.ndarray:
-    """For each of ``n`` places another one, the same distance away for all; a different distance each step."""
-    shift = 1 + (step * 40503 + 12345) % (n - 1) if n > 1 else 0
+    """For each of ``n`` places another one, the same distance away for all; the distance grows by one each step."""
+    shift = 1 + step % (n - 1) if n > 1 else 0
     return (np.arange(n) + shift) % n
 
 
