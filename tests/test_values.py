@@ -114,3 +114,20 @@ def test_factors_rebuild_the_table(spark):
     found = np.array([[a[i] @ b[j] for j in range(20)] for i in range(30)])
     assert all((v >= 0).all() for v in a.values()) and np.abs(found - table).mean() < 0.1 * table.mean()
     assert df.agg(F.count("*")).first()[0] == 600
+
+
+def test_trees_see_what_a_line_does_not(spark):
+    """A bend that no line explains; on other rows' features nothing is gained."""
+    from tidemark.operators import models as M
+
+    rng = np.random.default_rng(12)
+    a, b = rng.uniform(-1, 1, (2, 600))
+    y = np.abs(a) + 0.05 * rng.standard_normal(600)
+    df = spark.createDataFrame([(i, float(p), float(q), float(t), i >= 400) for i, (p, q, t) in enumerate(zip(a, b, y, strict=True))] + [(900, None, 0.0, 1.0, True)], "k long, a double, b double, y double, late boolean")
+    got = {r.model: r for r in M.compared_fits(df, ["a", "b"], "y", "late", "k").collect()}
+    assert {r.n for r in got.values()} == {200} and got["trees"].r2 > 0.8 and got["control"].r2 < 0.1
+    x = np.column_stack([np.ones(600), a, b])
+    w = np.linalg.lstsq(x[:400], y[:400], rcond=None)[0]
+    want = 1 - ((y[400:] - x[400:] @ w) ** 2).sum() / ((y[400:] - y[:400].mean()) ** 2).sum()
+    assert got["line"].r2 == pytest.approx(want, abs=1e-6)
+    assert M.compared_fits(df.where("NOT late"), ["a", "b"], "y", "late", "k").collect() == []

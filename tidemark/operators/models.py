@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import linear
+from tidemark.operators.graph import saved
+from tidemark.operators.order import rank_all
 
 
 def group_gram(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
@@ -139,3 +141,35 @@ def clusters(df: DataFrame, vector: str, k: int, seed: int = 7) -> DataFrame:
     d = Normalizer(inputCol="_v", outputCol="_u").transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>"))))
     model = KMeans(k=k, featuresCol="_u", predictionCol="cluster", seed=seed).fit(d)
     return model.transform(d).drop("_v", "_u")
+
+
+def compared_fits(df: DataFrame, features: list[str], target: str, test: str, key: str, steps: int = 40, seed: int = 7) -> DataFrame:
+    """``model, n, r2``: what a line and boosted trees explain of held-out rows, beyond the training mean.
+
+    ``control`` is the trees on features that belong to other rows: each row gets those of the row
+    next to it in the order of a hash of ``key``, so what it gains is no signal.  Rows with a null
+    feature or target are left out.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    known = df.select(F.col(key).alias("_key"), F.col(target).cast("double").alias("_y"), F.col(test).alias("_test"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)]).dropna()
+    # Training rows come first, so but for one row each gets features of its own side.
+    known = rank_all(known.withColumn("_side", F.col("_test").cast("int")).withColumn("_h", F.xxhash64("_key", F.lit(seed))), ["_side", "_h", "_key"], "_place")
+    names = [f"_x{i}" for i in range(len(features))]
+    other = known.select((F.col("_place") - 1).alias("_place"), *[F.col(c).alias(f"{c}o") for c in names])
+    both = saved(known.join(other, "_place", "left").select("_y", "_test", *names, *[F.coalesce(f"{c}o", c).alias(f"{c}o") for c in names]))
+    train, held = both.where("NOT _test"), both.where("_test")
+    n, mean = train.agg(F.count("*"), F.avg("_y")).first()
+    if not n or held.isEmpty():
+        return both.select(F.lit("line").alias("model"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("r2")).limit(0)
+    one = F.array(F.lit(1.0), *names)
+    weights = linear.probe(train.withColumn("_v", one), "_v", "_y", 1e-9)
+    scored = held.withColumn("line", F.aggregate(F.zip_with(one, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    for name, columns in (("trees", names), ("control", [f"{c}o" for c in names])):
+        put = VectorAssembler(inputCols=columns, outputCol="_f").transform
+        fit = GBTRegressor(featuresCol="_f", labelCol="_y", predictionCol=name, maxIter=steps, stepSize=0.1, maxDepth=4, seed=seed).fit(put(train))
+        scored = fit.transform(put(scored)).drop("_f")
+    whole = F.sum((F.col("_y") - F.lit(mean)) ** 2)
+    sums = scored.agg(F.count("*").alias("n"), *[(1 - F.try_divide(F.sum((F.col("_y") - F.col(m)) ** 2), whole)).alias(m) for m in ("line", "trees", "control")])
+    return sums.select("n", F.expr("stack(3, 'line', line, 'trees', trees, 'control', control) AS (model, r2)")).select("model", "n", "r2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import models as M
 from tidemark.operators import series as S
+from tidemark.plans.stats import n21_design_matrix
 from tidemark.plans.windows import PANEL, panel
 from tidemark.registry import query, table
 
@@ -65,3 +66,12 @@ def m15_nonnegative_factors(spark: SparkSession, d: str) -> DataFrame:
 def v15_theme_clusters(spark: SparkSession, d: str) -> DataFrame:
     c = M.clusters(table(spark, d, "embeddings"), "embedding", 24)
     return c.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("label").alias("breadth"), (F.count("*") * (1 + F.countDistinct("label"))).alias("weight"))
+
+
+@query()
+def m17_boosted_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Next day's log move of each series from its own three last ones and Mondays: a line, boosted trees, and trees on other rows' features."""
+    x = n21_design_matrix(spark, d).withColumn("key", F.concat_ws(":", "symbol", "day"))
+    cut = x.agg(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY unix_date(day))").alias("cut"))
+    rows = x.join(F.broadcast(cut)).withColumn("late", F.unix_date("day") > F.col("cut"))
+    return M.compared_fits(rows, ["lv", "l1", "l2", "monday"], "target", "late", "key", steps=20)
