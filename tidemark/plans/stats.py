@@ -13,6 +13,7 @@ from tidemark.operators import series as S
 from tidemark.operators import stats as N
 from tidemark.operators.temporal import first_per_key
 from tidemark.plans.aggregates import quotes
+from tidemark.plans.maps import solved
 from tidemark.plans.windows import PANEL, PARTS, panel
 from tidemark.registry import query, table
 
@@ -170,10 +171,12 @@ def m01_ridge_transport(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, L.channels(w, 8)[0], "singular")
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN label > 4 THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM embeddings),
+{solved("probe", "SELECT 0 AS g, vec_id AS pair, e AS a, list_prepend(y, list_transform(e[2:], lambda x: 0.0)) AS b FROM v")}
+SELECT (i - 1)::INTEGER AS i, round(w[1][i], 8) AS weight FROM probe, range(1, (SELECT max(len(e)) + 1 FROM v)) t(i)""")
 def m03_ridge_probe(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").withColumn("y", (F.col("label") > 4).cast("double") * 2 - 1)
-    return _rows(spark, L.probe(v, "embedding", "y", 1.0), "weight")
+    return _rows(spark, L.probe(v, "embedding", "y", 1.0), "weight").withColumn("weight", F.round("weight", 8))
 
 
 @query()
