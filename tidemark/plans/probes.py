@@ -183,15 +183,15 @@ RISK = f"""{UNIT}, {PANEL}, sectors AS (SELECT day, avg(ret) FILTER (sector = 0)
 risk AS (SELECT day, round((a - avg(a) OVER ()) / stddev_pop(a) OVER () - (b - avg(b) OVER ()) / stddev_pop(b) OVER () - 0.5 * (c - avg(c) OVER ()) / stddev_pop(c) OVER (), 5) AS risk FROM sectors), base AS (SELECT min(day) AS d0 FROM panel),
 told AS (SELECT vec_id, d0 + (vec_id % 30)::INT AS day, e FROM v, base), sums AS (SELECT day, i, avg(e[i]) AS x FROM told, range(1, (SELECT max(len(e)) + 1 FROM v)) t(i) GROUP BY ALL),
 raw AS (SELECT day, list(x ORDER BY i) AS m FROM sums WHERE day IN (SELECT day FROM told GROUP BY 1 HAVING count(*) >= 3) GROUP BY 1),
-days AS (SELECT day, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-9)) AS e, risk, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM raw JOIN risk USING (day)),
+days AS (SELECT day, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-9)) AS e, risk, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM raw JOIN risk USING (day) WHERE risk IS NOT NULL),
 {solved("probe", "SELECT 0 AS g, k AS pair, e AS a, list_prepend(risk, list_transform(e[2:], lambda x: 0.0)) AS b FROM days WHERE k <= round(0.7 * n)", strength=0.1)}"""
 
 
 def regime(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Days with ``test``, ``risk`` and predicted ``p``, and every vector's place ``score`` on the axis that predicts risk."""
     v = saved(unit_vectors(spark, d).select("vec_id", "e"))
-    risk = m14_risk_on(spark, d)
-    base = F.lit(risk.agg(F.min("day")).first()[0]).cast("date")
+    risk = m14_risk_on(spark, d).where("risk_on IS NOT NULL")
+    base = F.lit(table(spark, d, "events").agg(F.min(F.to_date("ts"))).first()[0]).cast("date")
     told = v.withColumn("day", F.date_add(base, (F.col("vec_id") % 30).cast("int")))
     cells = told.select("day", F.posexplode("e").alias("i", "x")).groupBy("day", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n")).where("n >= 3")
     days = cells.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select("day", V.unit(F.col("c.x")).alias("e")).join(risk.withColumnRenamed("risk_on", "risk"), "day")
