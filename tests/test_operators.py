@@ -312,3 +312,25 @@ def test_top_k_earlier_only(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, j) for i in range(12) for j in sorted(range(i), key=lambda j: (-round(float(unit[i] @ unit[j]), 9), j))[:3]}
     assert {(r.query, r.vec_id) for r in retrieval.top_k(q, v, 3, earlier=True).collect()} == want
+
+
+def test_correlation_without_variation(spark):
+    """NaN, as in SQL, and no division by zero, also in frames that are left out."""
+    df = spark.createDataFrame([("k", i, x, y) for i, (x, y) in enumerate([(1.5, 2.0), (1.5, 4.0), (2.5, 3.0), (None, 9.0)])] + [("n", 0, None, 1.0)], "g string, i int, x double, y double")
+    w = S.ordered(["g"], ["i"])
+    got = {(r.g, r.i): r.c for r in df.select("g", "i", S.rolling_corr(F.col("x"), F.col("y"), w, 4, 2).alias("c")).collect()}
+    assert got[("k", 0)] is None and np.isnan(got[("k", 1)]) and got[("k", 2)] == pytest.approx(0.0, abs=1e-12) and got[("n", 0)] is None
+    both = {r.g: r.c for r in df.groupBy("g").agg(S.corr(F.col("x"), F.col("y")).alias("c")).collect()}
+    assert both["k"] == pytest.approx(0.0, abs=1e-12) and both["n"] is None
+
+
+def test_sum_correlation_query_without_variation(spark, tmp_path):
+    """Two equal values in a row are a frame without variation in w16 and w25."""
+    from tidemark import registry
+
+    registry.load()
+    rows = [(10 * u + k, datetime(2024, 1, 1 + k), u, 5.0 if u and k < 3 else float(k * k + u)) for u in (0, 1) for k in range(8)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    for name, count in (("w16_rolling_pair_corr", 8), ("w25_corr_from_sums", 3)):
+        assert len(registry.QUERIES[name](spark, str(tmp_path)).collect()) == count
+

@@ -50,11 +50,23 @@ def beta(y: Column, x: Column, w: WindowSpec, rows: int = 250, least: int = 150)
     return F.when(F.count(F.when(both, 1)).over(f) >= least, F.regr_slope(y, x).over(f))
 
 
+def corr(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    """Correlation of the rows that have both, of a group or of a window frame: NaN where either does not vary, null without rows.
+
+    ``F.corr`` divides by zero there, an error in ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    parts = [F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)]
+    c, p, q = (v.over(over) for v in parts) if over is not None else parts
+    return F.when(c.isNotNull(), F.coalesce(F.try_divide(c, F.sqrt(p) * F.sqrt(q)), F.lit(float("nan"))))
+
+
 def rolling_corr(a: Column, b: Column, w: WindowSpec, rows: int = 120, least: int = 80) -> Column:
     """Correlation over the frame that ends with the current row, of rows that have both."""
     f = w.rowsBetween(1 - rows, 0)
     both = F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).over(f)
-    return F.when(both >= least, F.corr(a, b).over(f))
+    return F.when(both >= least, corr(a, b, f))
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.order import rank_all, running_total, tiles
+from tidemark.operators.series import corr
 
 
 def ordinal_ranks(df: DataFrame, group: list[str], columns: list[str], tiebreak: list[str]) -> DataFrame:
@@ -23,7 +24,7 @@ def ordinal_ranks(df: DataFrame, group: list[str], columns: list[str], tiebreak:
 def rank_ic(df: DataFrame, group: list[str], x: str, y: str, tiebreak: list[str], least: int = 5) -> DataFrame:
     """Rank correlation per group of at least ``least`` rows."""
     r = ordinal_ranks(df, group, [x, y], tiebreak)
-    return r.groupBy(*group).agg(F.corr(f"{x}_rank", f"{y}_rank").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return r.groupBy(*group).agg(corr(F.col(f"{x}_rank"), F.col(f"{y}_rank")).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def partial_corr(xy: Column, xz: Column, yz: Column) -> Column:

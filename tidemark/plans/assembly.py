@@ -303,7 +303,7 @@ def x09_persistence(spark: SparkSession, d: str) -> DataFrame:
     a = p.select(F.col("symbol").alias("a"), "day", F.col("ret").alias("x"), F.explode(F.array(F.col("symbol") + 1, F.col("symbol") + 5)).alias("b"))
     both = a.join(p.select(F.col("symbol").alias("b"), "day", F.col("ret").alias("y")), ["b", "day"])
     early = F.col("day") < F.lit("2024-01-16").cast("date")
-    corr = lambda when: F.round(F.corr(F.when(when, F.col("x")), F.when(when, F.col("y"))), 6)
+    corr = lambda when: F.round(S.corr(F.when(when, F.col("x")), F.when(when, F.col("y"))), 6)
     c = both.groupBy("a", "b").agg(F.count("*").alias("n"), corr(early).alias("early_corr"), corr(~early).alias("late_corr")).where("n >= 10")
     return c.select("a", "b", "n", "early_corr", "late_corr", F.when(F.col("early_corr") >= 0.3, "high").when(F.col("early_corr") >= 0, "low").otherwise("against").alias("tier"))
 

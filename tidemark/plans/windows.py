@@ -239,7 +239,7 @@ def w24_volatility_ratio(spark: SparkSession, d: str) -> DataFrame:
 SELECT symbol, day, round((n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)), 6) AS corr FROM s WHERE n >= 6""")
 def w25_corr_from_sums(spark: SparkSession, d: str) -> DataFrame:
     f = S.ordered(["symbol"], ["day"]).rowsBetween(-9, 0)
-    p = pair_panel(spark, d).withColumn("n", F.count("*").over(f)).withColumn("corr", F.round(F.corr("ret", "base").over(f), 6))
+    p = pair_panel(spark, d).withColumn("n", F.count("*").over(f)).withColumn("corr", F.round(S.corr(F.col("ret"), F.col("base"), f), 6))
     return p.where("n >= 6").select("symbol", "day", "corr")
 
 
