@@ -334,3 +334,8 @@ def test_sum_correlation_query_without_variation(spark, tmp_path):
     for name, count in (("w16_rolling_pair_corr", 8), ("w25_corr_from_sums", 3)):
         assert len(registry.QUERIES[name](spark, str(tmp_path)).collect()) == count
 
+
+def test_words_between_other_letters(spark):
+    texts = ["\u00e9les\u00e9", "les", "the_", "\u0130the", "th\u00c9 the9", "\u0434\u0435\u0440 DER", "x the", "xthe"]
+    assert [one(spark, T.ascii_words(T.plain_lower(F.col("v")), ["the", "les", "der"]), t) for t in texts] == [True, True, False, False, False, True, True, False]
+

@@ -80,7 +80,7 @@ NAMES = ("thation", "reer", "the")
 @query(r"""WITH n AS (SELECT unnest(['thation', 'reer', 'the']) AS name) SELECT name, count(*) AS docs, min(doc_id) AS first_doc FROM n JOIN documents ON regexp_matches(lower(text), '\b' || name || '\b') GROUP BY 1""")
 def j17_dictionary_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name each entry; one pass with one alternation instead of a join by pattern."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\b({'|'.join(NAMES)})\b"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(T.plain_lower(F.col("text")), F.lit(rf"(?<![0-9A-Za-z_])({'|'.join(NAMES)})(?![0-9A-Za-z_])"), F.lit(1)))
     rows = table(spark, d, "documents").select("doc_id", F.explode(found).alias("name"))
     return rows.groupBy("name").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
