@@ -339,3 +339,9 @@ def test_words_between_other_letters(spark):
     texts = ["\u00e9les\u00e9", "les", "the_", "\u0130the", "th\u00c9 the9", "\u0434\u0435\u0440 DER", "x the", "xthe"]
     assert [one(spark, T.ascii_words(T.plain_lower(F.col("v")), ["the", "les", "der"]), t) for t in texts] == [True, True, False, False, False, True, True, False]
 
+
+def test_interval_join_counts_fractions_of_seconds(spark):
+    ts = lambda s: datetime.fromisoformat(s)
+    a = spark.createDataFrame([(1, ts("2024-01-02T12:00:00.2"))], "k int, t timestamp")
+    b = spark.createDataFrame([(1, ts("2024-01-04T00:00:00.2"), 1), (1, ts("2024-01-04T00:00:00.9"), 2), (1, ts("2024-01-01T00:00:00.1"), 3), (1, ts("2024-01-01T00:00:00.2"), 4)], "k int, u timestamp, id int")
+    assert sorted(r.id for r in X.near_in_time(a, b, ["k"], "t", "u", 36 * 3600).collect()) == [1, 4]

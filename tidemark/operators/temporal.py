@@ -47,7 +47,9 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     a = left.withColumn("_bucket", bucket(F.col(left_time)))
     b = right.withColumn("_bucket", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: bucket(F.col(right_time)) + i)))
     gap = F.abs(F.unix_timestamp(right_time) - F.unix_timestamp(left_time))
-    return a.join(b, [*keys, "_bucket"]).withColumn("gap_seconds", gap).where(F.col("gap_seconds") <= seconds).drop("_bucket")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    within = F.abs(micros(right_time) - micros(left_time)) <= seconds * 1_000_000
+    return a.join(b, [*keys, "_bucket"]).where(within).withColumn("gap_seconds", gap).drop("_bucket")
 
 
 def hour_boundaries(a: Column, b: Column) -> Column:
