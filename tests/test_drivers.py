@@ -172,3 +172,32 @@ def test_near_names_miss_none(spark):
     # Most of what the ratio of matching blocks calls alike is alike by edits, too; letters that move count twice here.
     alike = {(a, b) for a in names for b in listed if long_words(a) & long_words(b) and difflib.SequenceMatcher(None, a, b).ratio() >= 0.92 and a != b}
     assert len(alike - want) <= 0.2 * len(alike)
+
+
+@pytest.mark.parametrize(("rows", "most"), [(500, 20_000), (2, 0)])
+def test_removal_by_blocks(spark, frames, monkeypatch, rows, most):
+    """Blocks of two names and baskets that are joined give the same rows as one block; no join makes pairs."""
+    members, series = frames
+    stranger = F.pmod(F.col("place") + F.col("a") + F.col("b"), F.col("drivers"))
+    want = sorted(map(tuple, D.removals(members, series, "name", 0.3, stranger).collect()), key=repr)
+    monkeypatch.setattr(D, "ROWS", rows)
+    monkeypatch.setattr(D, "BROADCAST", most)
+    found = D.removals(members, series, "name", 0.3, stranger)
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert len(got) == len(want) > 10
+    assert [r[:4] for r in got] == [r[:4] for r in want] and [r[6] for r in got] == [r[6] for r in want]
+    assert all(x == pytest.approx(y) for g, w in zip(got, want, strict=True) for x, y in zip(g, w, strict=True) if isinstance(y, float))
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_correlations_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((30, 9)), 1) + 100
+    x[rng.random(x.shape) < 0.4] = np.nan
+    x[0], x[1, 3:] = 7.0, 100.1
+    n, c = D.correlations(x[:20], x)
+    for i in range(20):
+        for j in range(30):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            assert n[i, j] == both.sum()
+            assert c[i, j] == pytest.approx(D.correlation(x[i : i + 1], x[j : j + 1], 1)[0], abs=1e-9, nan_ok=True)
