@@ -150,3 +150,21 @@ def test_sitemaps_through_indexes(spark):
     assert got == {"p1&x": "2024-02-01T05:00:00", "p2": "2023-01-01T00:00:00", "p3": None, "p4": None}
     assert {r.loc for r in files.discover(entries, seeds, "2024-01-15").collect()} == {"p1&x", "p3", "p4"}
     assert files.discover(entries, seeds.limit(0)).collect() == [] and files.discover(files.sitemap_entries(landed.limit(0)), seeds).collect() == []
+
+
+@pytest.mark.parametrize("rows", [1500, 4])
+def test_persistence_by_member(spark, monkeypatch, rows):
+    """Links by shared drivers give what the linked pairs themselves give."""
+    monkeypatch.setattr(P, "ROWS", rows)
+    rng = np.random.default_rng(12)
+    made = [(w, n, x, y) for w in (1, 2) for n, (x, y) in enumerate(zip(series(rng, 13, 20), series(rng, 13, 12), strict=True))]
+    told = [(w, f"d{d}", int(n)) for w in (1, 2) for d in range(4) for n in rng.choice(15, 5, False)]
+    df = spark.createDataFrame(made, "window int, name long, x array<double>, y array<double>")
+    members = spark.createDataFrame(told * 2, "window int, driver string, name long")
+    pairs = [(w, a, b) for w, d, a in told for v, e, b in told if (w, d) == (v, e) and a < b]
+    want = {r.linked: r for r in P.persistence(df, spark.createDataFrame(pairs, "window int, a long, b long")).collect()}
+    found = P.by_member(df, members)
+    got = {r.linked: r for r in found.collect()}
+    assert set(got) == set(want) == {0, 1} and all(got[k].n == want[k].n > 3 for k in want)
+    assert all(got[k][c] == pytest.approx(want[k][c]) for k in want for c in ("kept", "before", "after"))
+

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks as B
 from tidemark.operators.drivers import correlation
 from tidemark.operators.exposure import matrix, together
 
@@ -66,3 +68,32 @@ def persistence(series: DataFrame, linked: DataFrame, floor: float = 0.3, least:
     rest = standing(series, floor, least).select(F.lit(0).alias("linked"), *SUMS).union(news.select(F.lit(0), *[-F.col(c) for c in SUMS]))
     sums = news.union(rest).groupBy("linked").agg(*[F.sum(c).alias(c) for c in SUMS]).where("n > 0")
     return sums.select("linked", "n", *[(F.col(c) / F.col("n")).alias(c) for c in SUMS[1:]])
+
+
+def by_member(series: DataFrame, members: DataFrame, floor: float = 0.3, least: tuple[int, int] = (15, 8)) -> DataFrame:
+    """The same as ``persistence``, where news links two names that a driver of a window has both.
+
+    ``members`` has window, driver, name.  A name carries its drivers into the blocks, so links are
+    never rows: a driver's pairs are its names squared.
+    """
+    own = members.groupBy("window", "name").agg(F.collect_set("driver").alias("own"))
+    none = F.array().cast(f"array<{dict(members.dtypes)['driver']}>")
+    rows = series.join(own, ["window", "name"], "left").withColumn("own", F.coalesce("own", none))
+    sizes = rows.groupBy("window").agg(F.ceil(F.count("*") / ROWS).alias("parts"))
+    rows = rows.join(F.broadcast(sizes), "window").select("window", "name", "x", "y", "own", "parts")
+
+    def count(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        before, after = together(B.matrix(a["x"]), B.matrix(b["x"]), least[0]), together(B.matrix(a["y"]), B.matrix(b["y"]), least[1])
+        ok = (before > floor) & (after == after)
+        if same:
+            ok &= a["name"].to_numpy()[:, None] < b["name"].to_numpy()[None, :]
+        _, shared = B.sparse(a, b, "own")
+        made = []
+        for linked, some in ((1, ok & (shared > 0)), (0, ok & (shared == 0))):
+            x, y = before[some], after[some]
+            made.append((linked, int(some.sum()), int((y >= x).sum()), float(x.sum()), float(y.sum())))
+        return pa.table(dict(zip(("linked", *SUMS), map(list, zip(*made, strict=True)), strict=True)))
+
+    found = B.meet(rows, "name", ["window"], F.col("parts"), "linked int, n long, kept long, before double, after double", count)
+    sums = found.groupBy("linked").agg(*[F.sum(c).alias(c) for c in SUMS]).where("n > 0")
+    return sums.select("linked", "n", *[(F.col(c) / F.col("n")).alias(c) for c in SUMS[1:]])
