@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks as B
 from tidemark.operators import exposure as X
 from tidemark.operators import gates
 from tidemark.operators import neighbours as K
@@ -168,3 +169,32 @@ def test_persistence_by_member(spark, monkeypatch, rows):
     assert set(got) == set(want) == {0, 1} and all(got[k].n == want[k].n > 3 for k in want)
     assert all(got[k][c] == pytest.approx(want[k][c]) for k in want for c in ("kept", "before", "after"))
 
+
+def test_pairs_by_blocks(spark):
+    """Sparse rows in blocks of three, keys in slices of two: products and shared keys of every pair."""
+    rng = np.random.default_rng(5)
+    vectors = [{str(k): float(rng.integers(1, 9)) for k in rng.choice(7, 1 + i % 3, False)} for i in range(11)]
+    df = spark.createDataFrame([(i, list(v.items())) for i, v in enumerate(vectors)], "id long, u array<struct<k:string,w:double>>")
+
+    def of_block(a, b):
+        product, shared = B.sparse(a, b, "u", "k", "w", width=2)
+        return shared > 0, {"p": product, "s": (shared, shared == 1)}
+
+    got = {(r.a, r.b): (r.p, r.s) for r in B.pairs(df, "id", {"p": "double", "s": "float"}, of_block, 3).collect()}
+    want = {}
+    for a in range(11):
+        for b in range(a + 1, 11):
+            both = vectors[a].keys() & vectors[b].keys()
+            if both:
+                want[a, b] = (sum(vectors[a][k] * vectors[b][k] for k in both), None if len(both) == 1 else len(both))
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["g21_bridges", "g22_profile_cosine", "g24_emerging_pairs", "n19_persistence"])
+def test_pair_queries_meet_in_blocks(spark, name):
+    from tidemark import registry
+
+    registry.load()
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
