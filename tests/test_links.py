@@ -11,6 +11,7 @@ from tidemark.operators import exposure as X
 from tidemark.operators import gates
 from tidemark.operators import neighbours as K
 from tidemark.operators import persistence as P
+from tidemark.operators import spectral
 from tidemark.sources import files
 
 
@@ -190,7 +191,7 @@ def test_pairs_by_blocks(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["g21_bridges", "g22_profile_cosine", "g24_emerging_pairs", "n19_persistence"])
+@pytest.mark.parametrize("name", ["g21_bridges", "g22_profile_cosine", "g23_bound_sets", "g24_emerging_pairs", "n19_persistence"])
 def test_pair_queries_meet_in_blocks(spark, name):
     from tidemark import registry
 
@@ -198,3 +199,17 @@ def test_pair_queries_meet_in_blocks(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan
 
+
+def test_pair_correlation_without_variation(spark, monkeypatch):
+    """A pair that does not vary is NaN, one that lacks times is left out; parts, salts and repeated pairs change nothing."""
+    for k in ("NAMES", "PAIRS", "CHUNK"):
+        monkeypatch.setattr(spectral, k, 2)
+    x = {i: [(t, float((t * (i + 3)) % 11)) for t in range(12) if (t + i) % 6] for i in range(6)} | {7: [(t, 1.0) for t in range(12)], 8: [(0, 1.0)]}
+    panel = spark.createDataFrame([(i, t, v) for i, rows in x.items() for t, v in rows], "name long, at int, v double")
+    pairs = [(k, a, b) for k in "pq" for a in x for b in (*x, 99) if a < b]
+    found = spectral.paired(spark.createDataFrame(pairs, "d string, a long, b long"), panel, "name", "at", "v", 8).collect()
+    got = {(r.d, r.a, r.b): (r.n, r["corr"]) for r in found}
+    assert len(got) == len(found) == 2 * 21
+    for (_, a, b), (n, c) in got.items():
+        both = [(dict(x[a])[t], dict(x[b])[t]) for t in dict(x[a]) if t in dict(x[b])]
+        assert n == len(both) and (np.isnan(c) if b == 7 else c == pytest.approx(np.corrcoef(np.array(both).T)[0, 1]))

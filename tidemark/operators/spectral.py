@@ -6,10 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks as B
+from tidemark.operators.drivers import correlation
+
+#: Names of a part, pairs of a block, and pairs that are computed at once.
+NAMES, PAIRS, CHUNK = 4000, 400_000, 50_000
+
 
 def absorption(panel: DataFrame, group: str, name: str, index: str, value: str, size: int, least: int = 3) -> DataFrame:
     """``group, names, share``: the leading eigenvalue's share of the names' correlation matrix.
@@ -37,9 +45,49 @@ def absorption(panel: DataFrame, group: str, name: str, index: str, value: str,
     return sums.mapInPandas(leading, f"`{group}` {dict(panel.dtypes)[group]}, names long, share double")
 
 
+def paired(pairs: DataFrame, panel: DataFrame, name: str, time: str, value: str, least: int) -> DataFrame:
+    """Every row of ``pairs`` (with a, b) with ``n, corr`` over the times that both names have, ``least`` at least.
+
+    A name has one row a time.  Names are dealt to parts, and a pair goes once to the block of its two
+    parts, where the series of these names are; so pairs are never joined with times, nor met twice.
+    """
+    series = panel.where(F.col(time).isNotNull()).groupBy(F.col(name).alias("_name")).agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v"))).alias("_v"))
+    parts = max(1, -(-panel.select(name).distinct().count() // NAMES))
+    salts = max(1, -(-pairs.count() // (parts * parts * PAIRS)))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    left = pairs.withColumn("_i", part("a")).withColumn("_j", part("b")).withColumn("_s", F.pmod(F.xxhash64(*pairs.columns), F.lit(salts)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    cells = F.array_union(F.transform(every, lambda j: F.struct(part("_name").alias("i"), j.alias("j"))), F.transform(every, lambda i: F.struct(i.alias("i"), part("_name").alias("j"))))
+    right = series.select("_name", "_v", F.explode(cells).alias("_c")).select("_name", "_v", F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + ", n long, corr double"
+    empty = pairs.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def block(q: pa.Table, s: pa.Table) -> pa.Table:
+        if not len(q) or not len(s):
+            return empty.empty_table()
+        row, flat = B.arrays(s["_v"])
+        at = flat.field("t").dictionary_encode()
+        x, there = np.full((len(s), len(at.dictionary)), np.nan), np.zeros((len(s), len(at.dictionary)), bool)
+        place = at.indices.to_numpy(zero_copy_only=False)
+        x[row, place] = pc.fill_null(flat.field("v"), float("nan")).to_numpy(zero_copy_only=False)
+        there[row, place] = True
+        known = s["_name"].combine_chunks()
+        q = q.append_column("_a", pc.index_in(q["a"], value_set=known)).append_column("_b", pc.index_in(q["b"], value_set=known))
+        q = q.filter(pc.and_(pc.is_valid(q["_a"]), pc.is_valid(q["_b"])))
+        a, b = q["_a"].to_numpy(), q["_b"].to_numpy()
+        n, c, empties = np.zeros(len(q), np.int64), np.zeros(len(q)), np.zeros(len(q), bool)
+        for i in range(0, len(q), CHUNK):
+            k = slice(i, i + CHUNK)
+            p, r = x[a[k]], x[b[k]]
+            n[k], c[k] = (there[a[k]] & there[b[k]]).sum(1), correlation(p, r, 1)
+            empties[k] = ~(~np.isnan(p) & ~np.isnan(r)).any(1)
+        found = q.append_column("n", pa.array(n)).append_column("corr", pa.array(c, mask=empties))
+        return found.filter(pa.array(n >= least)).select(empty.names).cast(empty)
+
+    keys = ["_i", "_j", "_s"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, schema)
+
+
 def pair_correlation(pairs: DataFrame, panel: DataFrame, name: str, time: str, value: str, least: int) -> DataFrame:
     """``a, b, n, corr`` of stated pairs over the times that both have, ``least`` at least."""
-    a = panel.select(F.col(name).alias("a"), time, F.col(value).alias("_x"))
-    b = panel.select(F.col(name).alias("b"), time, F.col(value).alias("_y"))
-    both = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", time])
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("corr")).where(F.col("n") >= least)
+    return paired(pairs.select("a", "b").distinct(), panel, name, time, value, least)

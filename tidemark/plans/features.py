@@ -171,9 +171,8 @@ def bound(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PANEL}, {DRIVERS}, sets AS (SELECT a, b FROM bound), {CORR} SELECT driver, count(*) AS pairs, round(avg(corr), 6) AS mean_corr, round(max(corr), 6) AS max_corr FROM bound JOIN corrs USING (a, b) GROUP BY 1")
 def g23_bound_sets(spark: SparkSession, d: str) -> DataFrame:
     """How the names that a driver binds move together."""
-    b = bound(spark, d)
-    corrs = spectral.pair_correlation(b, panel(spark, d), "symbol", "day", "ret", 10)
-    return b.join(corrs, ["a", "b"]).groupBy("driver").agg(F.count("*").alias("pairs"), F.round(F.avg("corr"), 6).alias("mean_corr"), F.round(F.max("corr"), 6).alias("max_corr"))
+    found = spectral.paired(bound(spark, d), panel(spark, d), "symbol", "day", "ret", 10)
+    return found.groupBy("driver").agg(F.count("*").alias("pairs"), F.round(F.avg("corr"), 6).alias("mean_corr"), F.round(F.max("corr"), 6).alias("max_corr"))
 
 
 @query(f"""WITH {PANEL}, {DRIVERS}, names AS (SELECT DISTINCT symbol FROM panel), labelled AS (SELECT 'linked' AS label, a, b FROM bound GROUP BY a, b HAVING count(*) >= 2
