@@ -80,6 +80,19 @@ def test_keep_one_tells_shared_and_null_ids_apart(docs):
     assert kept == sorted([(1, a), (1, b), (3, c), (None, "fourth null text here again"), (None, None)], key=repr)
 
 
+def test_keep_one_links_by_fingerprint(docs):
+    """Texts of one fingerprint, or of near ones, are one group though few of their shingles are the same; also by way of a third text."""
+    rng = random.Random(3)
+    tail = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    base = "red green blue " * 50
+    rows = [(4, base + tail()), (2, base + tail()), (5, tail()), (6, base + tail())]
+    bits = {i: b for i, b, _ in simhash_dedup.brute_force(rows)}
+    assert bits[4] == bits[2] == bits[6] != bits[5]
+    sets = [set(shingle_join.shingles(t).tolist()) for _, t in rows]
+    assert len(sets[0] & sets[1]) < 0.3 * len(sets[0] | sets[1])
+    assert rows_of(simhash_dedup.keep_one(docs(rows)), "doc_id") == [(2,), (5,)]
+
+
 def test_keep_one_finds_all_pairs_at_the_similarity(docs, monkeypatch):
     """Copies with a few edits go, as a brute force on the shingles' Jaccard similarity says; also by way of crowded buckets."""
     rng = random.Random(21)

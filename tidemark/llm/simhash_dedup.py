@@ -114,14 +114,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each component of texts that ``shingle_join`` links, whatever their fingerprints."""
+    """``documents`` with one row of each component of texts that their fingerprints link, or an exact comparison of shingles.
+
+    Fingerprints and links are those of ``near_duplicates``.  Similar texts whose fingerprints lie further
+    apart are found by ``shingle_join``.
+    """
     prepare(documents.sparkSession)
     digest = F.xxhash64("text")
     tagged = documents.select(F.col("doc_id").cast("long"), digest.alias("digest"), "text")
-    named = tagged.mapInArrow(shingle_join.classes, "doc_id long, digest long, class long, size long, sketch binary")
+    named = written(tagged.mapInArrow(shingle_join.classes, "doc_id long, digest long, class long, size long, sketch binary"), "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")).alias("first")
     classes = written(named.groupBy("class").agg(F.max("size").alias("size"), F.max("sketch").alias("sketch"), first), "classes")
-    joined = components(shingle_join.links(classes, tagged))
+    # A fingerprint stands for the least class that has it; equal digests are equal texts.
+    prints = fingerprints(tagged.select(F.col("digest").alias("doc_id"), "text")).distinct()
+    of_print = written(prints.join(named.select(F.col("digest").alias("doc_id"), "class").distinct(), "doc_id").select("bits", "class").distinct(), "prints")
+    stands = of_print.groupBy("bits").agg(F.min("class").alias("node"))
+    same = of_print.join(stands, "bits").select(F.col("node").alias("a"), F.col("class").alias("b")).where("a <> b")
+    end = lambda side, node: stands.select(F.col("bits").alias(side), F.col("node").alias(node))
+    near = links(of_print.select("bits").distinct()).join(end("a", "p"), "a").join(end("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    joined = components(same.union(near).union(shingle_join.links(classes, tagged).select("a", "b")))
     rooted = classes.join(joined, F.col("class") == F.col("node"), "left").select("first", F.coalesce("component", "class").alias("root"))
     own, of, stays = fresh(documents, "digest", "kept", "kept_digest")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of), F.col("first.digest").alias(stays))
