@@ -1,6 +1,9 @@
 """Fitted maps, margin refits, neighbours and walks against numpy."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +234,23 @@ def test_channels_equal_numpy(spark):
     every = np.linalg.svd(ridge(e[:-1], e[1:]))
     assert np.allclose([r.strength for r in strongest], every[1][:8])
     assert all(abs(np.dot(r.input, every[0][:, r.channel])) > 0.999 for r in strongest)
+
+def test_nearest_of_many_queries_in_bounded_pieces():
+    """Thousands of queries against a whole batch, in the memory of one piece; copies are decided by id."""
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((3000, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    x = rng.standard_normal((6000, 8))
+    x[rng.random(6000) < 0.3] = x[0]
+    qs, ids = np.arange(3000) * 2, rng.permutation(6000)
+    batches = [(ids[i : i + 4000], pd.Series(list(x[i : i + 4000]))) for i in (0, 4000)]
+    tracemalloc.start()
+    row, got, score = R.nearest(iter(batches), qs, m, 5, earlier=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # One matrix of all scores takes 96 MB.
+    s = m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    for q in range(0, 3000, 97):
+        near = sorted((-round(float(s[q, j]), 9), int(ids[j])) for j in range(6000) if ids[j] < qs[q])[:5]
+        assert [(-round(float(v), 9), int(j)) for v, j in zip(score[row == q], got[row == q], strict=True)] == near
+    assert all(len(p) == 0 for p in R.nearest(iter(batches), qs[:0], m[:0], 5))

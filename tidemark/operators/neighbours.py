@@ -42,9 +42,10 @@ def _packed(df: DataFrame, keys: list[str], ident: str, vec: str, name: str) ->
     return rows.groupBy(*keys).applyInPandas(pack, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {name}_ids binary, {name}_vectors binary")
 
 
-def _kept(row: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kept(row: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best ``k`` of each row by rounded score, ties to the smaller item."""
-    order = np.lexsort((item, -np.round(score, 9), row))
+    place = np.unique(item, return_inverse=True)[1] if item.dtype == object else item
+    order = np.lexsort((place, -np.round(score, 9), row))
     row, item, score = row[order], item[order], score[order]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if row.size else np.zeros(0, int)
     place = np.arange(row.size) - np.repeat(first, np.diff(np.r_[first, row.size]))
@@ -69,7 +70,7 @@ def _best(k: int, earlier: bool):
                     # Ties at the edge stay in until the ids decide.
                     r, c = np.nonzero((s >= edge[:, None] - 1e-9) & np.isfinite(s))
                     found.append((at + r, items[c], s[r, c]))
-                held = _kept(*(np.concatenate(p) for p in zip(*found, strict=True)), k)
+                held = kept(*(np.concatenate(p) for p in zip(*found, strict=True)), k)
         yield pd.DataFrame({"query": qs[held[0]], "item": held[1], "score": held[2]})
 
     return best

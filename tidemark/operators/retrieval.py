@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import vector as V
 from tidemark.operators.graph import saved
+from tidemark.operators.neighbours import kept
 from tidemark.operators.temporal import first_per_key
 
 K1, B = 1.2, 0.75
@@ -20,6 +21,8 @@ K1, B = 1.2, 0.75
 
 #: Queries whose matrix is broadcast at once; a larger set takes a pass for each so many.
 BLOCK = 4096
+#: Queries and vectors of a block that are scored at once, whatever the block and the batch hold.
+STEP, WIDE = 512, 2048
 
 
 def bm25_index(docs: DataFrame, doc_id: str, text: str, only: DataFrame | None = None) -> DataFrame:
@@ -100,16 +103,45 @@ def _blocks(queries: DataFrame, query_id: str, query: str) -> Iterator[tuple[np.
         yield found[query_id].to_numpy(), mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
 
 
-def _scores(m: np.ndarray, rows: pd.Series) -> np.ndarray:
+def _units(rows: pd.Series) -> np.ndarray:
     x = np.array(rows.tolist(), float)
-    return m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def nearest(batches: Iterator[tuple[np.ndarray, pd.Series]], qs: np.ndarray, m: np.ndarray, k: int, earlier: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``m``, ids and cosines of the best ``k`` of all batches of ids and vectors, ties to the smaller id.
+
+    Only ``STEP`` queries by ``WIDE`` vectors are scored at once, and ``k`` hits a query are held between them.
+    """
+    held = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(qs), STEP)]
+    floor = np.full(len(qs), -np.inf)
+    for ids, vectors in batches:
+        for first in range(0, len(ids), WIDE):
+            here, x = ids[first : first + WIDE], _units(vectors.iloc[first : first + WIDE])
+            for i, at in enumerate(range(0, len(qs), STEP)):
+                part = slice(at, at + STEP)
+                s = m[part] @ x.T
+                s[np.isnan(s) | (here[None, :] >= qs[part, None]) if earlier else np.isnan(s)] = -np.inf
+                top = min(k, len(here))
+                # Scores that round alike stay in until the ids decide.
+                edge = np.maximum(np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top], floor[part])
+                r, c = np.nonzero((s >= edge[:, None] - 1e-9) & np.isfinite(s))
+                if r.size:
+                    held[i] = row, _, score = kept(*(np.concatenate(p) for p in zip(held[i], (r, here[c], s[r, c]), strict=True)), k)
+                    full = np.bincount(row, minlength=len(floor[part])) >= k
+                    low = np.full(len(full), np.inf)
+                    np.minimum.at(low, row, score)
+                    floor[part] = np.where(full, low, -np.inf)
+    if not held:
+        return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate([h[0] + i * STEP for i, h in enumerate(held)]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query", query: str = "q", vec_id: str = "vec_id", vec: str = "embedding", floor: float | None = None, earlier: bool = False) -> DataFrame:
-    """Exact cosine top-k: each block of queries is one matrix product per batch of vectors.
+    """Exact cosine top-k: each block of queries is multiplied with the vectors, piece by piece.
 
     At most about ``BLOCK`` queries are broadcast at once, in as many passes as the set needs;
-    each task keeps the best ``k`` of a batch, and only those are shuffled for the final ranking.
+    each task keeps the best ``k`` of what it reads, and only those are shuffled for the final ranking.
     ``earlier`` takes only vectors whose id is smaller than the query's.
     """
     kinds = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[vec_id]
@@ -119,17 +151,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             qs, m = shared.value
-            for b in batches:
-                if not len(b) or not len(qs):
-                    continue
-                s = _scores(m, b[vec])
-                if earlier:
-                    s[b[vec_id].to_numpy()[None, :] >= qs[:, None]] = -np.inf
-                top = min(k, s.shape[1])
-                # Ties at the edge of a batch stay in, so the final ranking decides them by id.
-                edge = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
-                r, c = np.nonzero((s >= edge[:, None] - 1e-12) & np.isfinite(s))
-                yield pd.DataFrame({query_id: qs[r], vec_id: b[vec_id].to_numpy()[c], "score": s[r, c]})
+            row, ids, score = nearest(((b[vec_id].to_numpy(), b[vec]) for b in batches), qs, m, k, earlier)
+            yield pd.DataFrame({query_id: qs[row], vec_id: ids, "score": score})
 
         found = vectors.select(vec_id, vec).mapInPandas(best, f"`{query_id}` {kinds[0]}, `{vec_id}` {kinds[1]}, score double")
         scored = found if scored is None else scored.union(found)
@@ -153,11 +176,14 @@ def best_chunks(queries: DataFrame, chunks: DataFrame, doc: str, query_id: str =
             for b in batches:
                 if not len(b) or not len(qs):
                     continue
-                b = b.sort_values([doc, vec_id])
-                s, ids = np.round(_scores(m, b[vec]), 12), b[vec_id].to_numpy()
-                for name, at in b.reset_index(drop=True).groupby(doc, sort=False).indices.items():
-                    top = s[:, at].argmax(1)
-                    yield pd.DataFrame({query_id: qs, doc: name, vec_id: ids[at][top], "score": s[:, at][np.arange(len(qs)), top]})
+                b = b.sort_values([doc, vec_id]).reset_index(drop=True)
+                ids, docs, x = b[vec_id].to_numpy(), b.groupby(doc, sort=False).indices, _units(b[vec])
+                for first in range(0, len(qs), STEP):
+                    asked = qs[first : first + STEP]
+                    s = np.round(m[first : first + STEP] @ x.T, 12)
+                    for name, at in docs.items():
+                        top = s[:, at].argmax(1)
+                        yield pd.DataFrame({query_id: asked, doc: name, vec_id: ids[at][top], "score": s[:, at][np.arange(len(asked)), top]})
 
         found = chunks.select(vec_id, doc, vec).mapInPandas(best, f"`{query_id}` {kinds[0]}, `{doc}` {kinds[1]}, `{vec_id}` {kinds[2]}, score double")
         scored = found if scored is None else scored.union(found)
