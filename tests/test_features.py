@@ -1,5 +1,8 @@
 """Hashed features, panel spectra and text readers against plain Python and numpy."""
 
+from collections import Counter
+from hashlib import md5
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +38,22 @@ def test_bag_has_length_one_and_skips_empty_texts(spark):
     assert sorted(round(r.weight, 6) for r in rows) == [round(1 / 5**0.5, 6), round(2 / 5**0.5, 6)]
 
 
+def test_bag_counts_whole_long_texts_and_what_each_word_stands_for(spark, monkeypatch):
+    """Pieces of a text, rows of one key and small tables of counts add up to what plain counting gives."""
+    monkeypatch.setattr(H, "PIECE", 7)
+    monkeypatch.setattr(H, "CELLS", 64)
+    monkeypatch.setattr(H, "KNOWN", 5)
+    rng = np.random.default_rng(2)
+    rows = [(i % 9, " ".join("abcde"[: n + 1] * (n % 3 + 1) for n in rng.integers(0, 5, 3 * i))) for i in range(12)] + [(20, None), (21, "")]
+    got = {(r.k, r.slot): r.weight for r in H.bag(spark.createDataFrame(rows, "k long, t string"), "k", H.words(F.col("t")), 32, H.grams_of).collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        words = [w for j, t in rows if j == k and t for w in t.split()]
+        found = Counter(int(md5(g.encode()).hexdigest()[:8], 16) % 32 for w in words for g in [w, *(f" {w} "[i : i + 4] for i in range(len(w) - 1))])
+        want |= {(k, s): n / sum(m * m for m in found.values()) ** 0.5 for s, n in found.items()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_link_and_section(spark):
     df = spark.createDataFrame([("https://n.example/articles/aHR0cDovL2EuYi9jP2Q?x=1",), ("https://n.example/other",), (None,)], "u string")
     assert [r[0] for r in df.select(TX.decode_link(F.col("u"))).collect()] == ["http://a.b/c?d", None, None]

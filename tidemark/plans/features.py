@@ -31,7 +31,7 @@ def t05_stable_key(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT doc_id, w AS f FROM w UNION ALL SELECT doc_id, substr(' ' || w || ' ', i, 4) FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2)), {SCALED.format(256)}""")
 def t33_hashed_grams(spark: SparkSession, d: str) -> DataFrame:
     """Words and their character grams in 256 slots."""
-    found = H.bag(table(spark, d, "documents"), "doc_id", H.character_grams(H.words(F.col("text"))), 256)
+    found = H.bag(table(spark, d, "documents"), "doc_id", H.words(F.col("text")), 256, H.grams_of)
     return found.withColumn("weight", F.round("weight", 6))
 
 
