@@ -137,6 +137,21 @@ def test_feed_reads_first_parts_only(spark, tmp_path):
     assert sorted(r.id for r in got) == list(range(0, 40, 2)) and len({r.dt for r in got}) == 5
 
 
+def test_feed_parts_of_a_day_are_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    """No task takes a third of the corpus, and a day without a first part gives nothing."""
+    from tidemark.plans import landing
+
+    df = spark.range(2000).where("id % 28 <> 5 OR id % 3 <> 0").select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("t").alias("text"))
+    monkeypatch.setattr(landing, "table", lambda *_: df)
+    monkeypatch.setattr(landing, "_work", lambda _: str(tmp_path))
+    got = landing.s07_first_parts(spark, "").collect()
+    assert sorted(r.doc_id for r in got) == [i for i in range(0, 2000, 3) if i % 28 != 5]
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "feed")).groupBy(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)).count().collect()]
+    assert max(sizes) <= 2000 // 84 + 1
+    bare = files.first_parts(spark, str(tmp_path / "feed"), "doc_id long", 1000)
+    assert {r.doc_id % 28 for r in bare.collect()} == {0}
+
+
 def test_sitemaps_through_indexes(spark):
     import gzip
 

@@ -241,8 +241,10 @@ def s07_first_parts(spark: SparkSession, d: str) -> DataFrame:
     path = f"{_work(spark)}/feed"
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int"))
     a = table(spark, d, "documents").select("doc_id", "source", "text", day.alias("dt"))
-    a.repartitionById(3, (F.col("doc_id") % 3).cast("int")).write.partitionBy("dt").parquet(path)
-    return files.first_parts(spark, path, "doc_id long, source string, text string").select("doc_id", "source", "text")
+    # Each part of a day is a task of its own, so a task takes an 84th of the corpus.
+    part = F.pmod("doc_id", F.lit(28)) * 3 + F.pmod("doc_id", F.lit(3))
+    a.repartitionById(84, part.cast("int")).write.partitionBy("dt").parquet(path)
+    return files.first_parts(spark, path, "doc_id long, source string, text string", 3).select("doc_id", "source", "text")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), f AS (SELECT o_orderkey AS fact_id, o_orderkey // 4 AS doc_id, CASE WHEN o_orderkey % 7 > 0 THEN epoch(o_orderdate)::BIGINT ELSE 0 END AS published_epoch,
