@@ -254,3 +254,14 @@ def test_nearest_of_many_queries_in_bounded_pieces():
         near = sorted((-round(float(s[q, j]), 9), int(ids[j])) for j in range(6000) if ids[j] < qs[q])[:5]
         assert [(-round(float(v), 9), int(j)) for v, j in zip(score[row == q], got[row == q], strict=True)] == near
     assert all(len(p) == 0 for p in R.nearest(iter(batches), qs[:0], m[:0], 5))
+
+
+def test_a_group_of_the_exact_search_holds_few_item_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "ROWS", 10)
+    monkeypatch.setattr(K, "SLAB", 2)
+    met, ranked = [], K._ranked
+    monkeypatch.setattr(K, "_ranked", lambda rows, keys, *more: met.append(rows.groupBy(*keys).count().agg(F.max("count")).first()[0]) or ranked(rows, keys, *more))
+    x = np.random.default_rng(4).standard_normal((90, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r.query, r.item, r["rank"]) for r in K.exact(df, df, 3, query="id", q="v", item="id", x="v").collect()}
+    assert got == {(i, int(j), n) for i in range(90) for n, j in enumerate(np.argsort(-(x @ x[i]))[:3], 1)} and met == [2]

@@ -22,6 +22,8 @@ from tidemark.operators.temporal import first_per_key
 
 #: Vectors of a block, queries scored at once within one, and vectors at most that centres are fitted on.
 ROWS, STEP, SAMPLE = 8192, 512, 20_000
+#: Item blocks that a query block meets in one group, as a group's packs may come to Python in one batch.
+SLAB = 8
 #: Centres at most, so that they may be broadcast.
 MOST_CELLS = 4096
 
@@ -93,9 +95,9 @@ def exact(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, q
     the product of both sizes; see :func:`by_cells`.
     """
     parts, q_parts = _parts(items.count()), _parts(queries.count())
-    own = _packed(items.withColumn("part", F.pmod(F.xxhash64(item), F.lit(parts)).cast("int")), ["part"], item, x, "i")
+    own = _packed(items.withColumn("part", F.pmod(F.xxhash64(item), F.lit(parts)).cast("int")), ["part"], item, x, "i").withColumn("slab", F.floor(F.col("part") / SLAB))
     asked = _packed(queries.withColumn("q_block", F.pmod(F.xxhash64(query), F.lit(q_parts)).cast("int")), ["q_block"], query, q, "q")
-    return _ranked(own.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).join(asked, "q_block"), ["q_block"], k, earlier)
+    return _ranked(own.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))).join(asked, "q_block"), ["q_block", "slab"], k, earlier)
 
 
 def within(queries: DataFrame, items: DataFrame, k: int, group: str, earlier: bool = False, query: str = "query", q: str = "q", item: str = "item", x: str = "x") -> DataFrame:
