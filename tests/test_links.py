@@ -248,3 +248,21 @@ def test_pair_correlation_without_variation(spark, monkeypatch):
     for (_, a, b), (n, c) in got.items():
         both = [(dict(x[a])[t], dict(x[b])[t]) for t in dict(x[a]) if t in dict(x[b])]
         assert n == len(both) and (np.isnan(c) if b == 7 else c == pytest.approx(np.corrcoef(np.array(both).T)[0, 1]))
+
+
+@pytest.mark.parametrize("name", ["w04_three_rankings"])
+def test_partitions_follow_the_rows_of_the_table(spark, monkeypatch, name):
+    """A larger table comes in more partitions, not in larger ones, and the rows are the same."""
+    from tidemark import registry
+    from tidemark.operators import order
+
+    registry.load()
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    whole = sorted(map(tuple, registry.QUERIES[name](spark, d).collect()))
+    monkeypatch.setattr(order, "SMALL", 100)
+    monkeypatch.setattr(order, "DEALT", 500)
+    found = registry.QUERIES[name](spark, d)
+    assert sorted(map(tuple, found.collect())) == whole
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning({'l_orderkey' if name[0] == 'w' else 'fact'}" in plan and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan

@@ -32,3 +32,18 @@ def tiles(rank: Column, rows: Column, parts: int) -> Column:
     each, extra = F.floor(rows / parts), rows % parts
     edge = extra * (each + 1)
     return F.when(rank <= edge, F.floor((rank - 1) / (each + 1)) + 1).otherwise(extra + F.floor((rank - 1 - edge) / F.greatest(each, F.lit(1))) + 1).cast("int")
+
+
+#: Rows of one partition of :func:`dealt`, and rows of a small table.
+DEALT, SMALL = 1 << 19, 1 << 21
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in partitions of about ``DEALT`` of its ``rows`` rows, so that what one task sorts and groups does not grow with the table.
+
+    A number of its own keeps partitions from being merged again; a small table is left to the session.
+    """
+    if rows <= SMALL:
+        return df.repartition(*keys)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // DEALT)), *keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import temporal as X
+from tidemark.operators.order import dealt
 from tidemark.plans.windows import BARS, prices, returns
 from tidemark.registry import query, table
 
@@ -250,6 +251,7 @@ def w01_newest_per_key(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY dist, l_linenumber) AS atm, rank() OVER (PARTITION BY l_orderkey ORDER BY round(off, 6), l_linenumber) AS wing, expiry FROM a""")
 def w04_three_rankings(spark: SparkSession, d: str) -> DataFrame:
     l, k = table(spark, d, "lineitem"), W.partitionBy("l_orderkey")
+    l = dealt(l.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate"), l.count(), "l_orderkey")
     rank = lambda *o: F.rank().over(k.orderBy(*o)).cast("long")
     return l.select(
         "l_orderkey", "l_linenumber", rank(F.abs(F.col("l_quantity") - 25), "l_linenumber").alias("atm"),
