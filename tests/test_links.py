@@ -250,7 +250,7 @@ def test_pair_correlation_without_variation(spark, monkeypatch):
         assert n == len(both) and (np.isnan(c) if b == 7 else c == pytest.approx(np.corrcoef(np.array(both).T)[0, 1]))
 
 
-@pytest.mark.parametrize("name", ["w04_three_rankings"])
+@pytest.mark.parametrize("name", ["w04_three_rankings", "j13_cooccurrence"])
 def test_partitions_follow_the_rows_of_the_table(spark, monkeypatch, name):
     """A larger table comes in more partitions, not in larger ones, and the rows are the same."""
     from tidemark import registry

@@ -10,6 +10,7 @@ from tidemark.functions import vector as V
 from tidemark.operators import graph as G
 from tidemark.operators import neighbours as K
 from tidemark.operators import retrieval as R
+from tidemark.operators.order import dealt
 from tidemark.operators.temporal import first_per_key
 from tidemark.registry import query, table
 
@@ -281,8 +282,9 @@ CO = f"{FACTS}, co AS (SELECT a.entity AS a, b.entity AS b, count(*) AS weight F
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as facts, their suppliers as entities."""
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("entity")).distinct()
+    """Orders as facts, their suppliers as entities; all later steps of a fact stay in its partition."""
+    l = table(spark, d, "lineitem")
+    l = dealt(l.select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("entity")), l.count(), "fact").distinct()
     return l.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("fact")), "fact", "left_semi")
 
 
