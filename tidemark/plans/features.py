@@ -10,6 +10,7 @@ from tidemark.functions import text as TX
 from tidemark.operators import graph as G
 from tidemark.operators import series as S
 from tidemark.operators import spectral
+from tidemark.operators.order import WIDE, dealt
 from tidemark.operators.temporal import first_per_key
 from tidemark.plans.composites import CELLS, cells
 from tidemark.plans.landing import _work
@@ -39,7 +40,10 @@ def t33_hashed_grams(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT doc_id, unnest(w) AS f FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t), {SCALED.format(1024)}""")
 def t34_hashed_bag(spark: SparkSession, d: str) -> DataFrame:
     """Words and pairs of words in 1,024 slots."""
-    found = H.bag(table(spark, d, "documents"), "doc_id", H.word_pairs(H.words(F.col("text"))), 1024)
+    # Words are a column of their own, else each place of a pair splits the text again.
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    split = dealt(docs, WIDE * docs.count(), "doc_id").select("doc_id", H.words(F.col("text")).alias("words"))
+    found = H.bag(split, "doc_id", H.word_pairs(F.col("words")), 1024)
     return found.withColumn("weight", F.round("weight", 6))
 
 
