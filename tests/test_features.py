@@ -79,3 +79,32 @@ def test_pair_correlation(spark):
     (got,) = spectral.pair_correlation(pairs, panel, "name", "at", "v", 10).collect()
     assert (got.a, got.b, got.n) == (0, 1, 12)
     assert got["corr"] == pytest.approx(np.corrcoef(x[0], x[1])[0, 1])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_word_pairs_split_a_text_once(spark):
+    from tidemark import registry
+
+    registry.load()
+    assert _plan(registry.QUERIES["t34_hashed_bag"](spark, "/root/testdata/sf0.001")).count("split(") == 1
+
+
+def test_lexical_index_splits_texts_once_for_terms_and_once_for_lengths(spark):
+    from tidemark.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, ""), (3, None), (4, "beta")], "d long, t string")
+    index = R.bm25_index(docs, "d", "t")
+    # Terms, their document frequencies (the same shuffle) and the mean length.
+    assert _plan(index).count("regexp_extract_all") == 3
+    assert sorted((r.doc, r.term, r.tf, r.dl, r.df) for r in index.collect()) == [(1, "alpha", 2, 3, 1), (1, "beta", 1, 3, 2), (4, "beta", 1, 1, 2)]
+
+
+def test_term_weights_shuffle_texts_and_no_terms_of_documents(spark):
+    from tidemark import registry
+
+    registry.load()
+    plan = registry.QUERIES["v17_tfidf_space"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and ", term" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(doc_id")[1:])

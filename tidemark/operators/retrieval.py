@@ -32,7 +32,9 @@ def bm25_index(docs: DataFrame, doc_id: str, text: str, only: DataFrame | None =
     split, before anything is shuffled.
     """
     whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col(text)))).alias("avg_dl"))
-    terms = docs.select(F.col(doc_id).alias("doc"), T.tokens(F.col(text)).alias("all")).select("doc", F.size("all").alias("dl"), F.explode("all").alias("term"))
+    # The outer form keeps Spark from splitting texts once more to see which of them have terms.
+    terms = docs.select(F.col(doc_id).alias("doc"), T.tokens(F.col(text)).alias("all"))
+    terms = terms.select("doc", F.size("all").alias("dl"), F.explode_outer("all").alias("term")).where("term IS NOT NULL")
     if only is not None:
         terms = terms.join(only.select("term"), "term", "left_semi")
     tf = terms.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
