@@ -143,6 +143,19 @@ def test_cells_reach_the_recall(vectors, monkeypatch, rows):
     assert K.recall(K.by_cells(v, v, 5, centre, 99, True, **of), truth) == 1
 
 
+def test_item_packs_go_once_to_a_district(vectors, monkeypatch):
+    """Cells that share a district share their packs; who meets whom stays the same."""
+    v, _, _ = vectors
+    of = {"query": "vec_id", "q": "embedding", "item": "vec_id", "x": "embedding"}
+    centre = K.centres(v, "vec_id", "embedding", 12)
+    ranked, keys, found = K._ranked, [], []
+    monkeypatch.setattr(K, "_ranked", lambda met, by, *rest: keys.append(by) or ranked(met, by, *rest))
+    for n in (1, 3, 99):
+        monkeypatch.setattr(K, "DISTRICTS", n)
+        found.append({(r.query, r.item) for r in K.by_cells(v, v, 5, centre, 4, True, **of).collect()})
+    assert keys[0][0] == "district" and found[0] == found[1] == found[2] != set()
+
+
 def test_neighbours_of_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     of = {"query": "vec_id", "q": "embedding", "item": "vec_id", "x": "embedding"}

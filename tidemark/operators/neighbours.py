@@ -24,8 +24,8 @@ from tidemark.operators.temporal import first_per_key
 ROWS, STEP, SAMPLE = 8192, 512, 20_000
 #: Item blocks that a query block meets in one group, as a group's packs may come to Python in one batch.
 SLAB = 8
-#: Centres at most, so that they may be broadcast.
-MOST_CELLS = 4096
+#: Centres at most, so that they may be broadcast, and districts of them at least (a district has one cell or more).
+MOST_CELLS, DISTRICTS = 4096, 48
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -153,11 +153,19 @@ def by_cells(queries: DataFrame, items: DataFrame, k: int, centre: np.ndarray, p
         sizes = rows.groupBy("cell").agg((F.floor((F.count("*") - 1) / ROWS) + 1).cast("int").alias("parts"))
         return rows.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(ident), "parts").cast("int"))
 
-    near = _order(centre)[:, : max(1, probes)]
-    route = spark.createDataFrame(pd.DataFrame({"home": np.repeat(np.arange(len(centre)), near.shape[1]), "cell": near.ravel()}), "home int, cell int")
-    own = _packed(placed(items, item, x), ["cell", "part"], item, x, "i").join(route, "cell").select("home", "i_ids", "i_vectors")
-    asked = _packed(placed(queries, query, q), ["cell", "part"], query, q, "q").select(F.col("cell").alias("home"), "part", "q_ids", "q_vectors")
-    return _ranked(asked.join(own, "home"), ["home", "part"], k, earlier)
+    order = _order(centre)
+    near = order[:, : max(1, probes)]
+    # Home cells near each other form a district, to which an item pack goes once, however many of its cells probe it.
+    districts = min(len(centre), max(DISTRICTS, _parts(queries.count())))
+    district = np.empty(len(centre), np.int64)
+    district[order[:1].ravel()] = np.arange(len(centre)) * districts // max(1, len(centre))
+    route = pd.DataFrame({"home": np.repeat(np.arange(len(centre)), near.shape[1]), "cell": near.ravel()}).assign(district=lambda r: district[r["home"]])
+    route = saved(spark.createDataFrame(route, "home int, cell int, district int"))
+    own = _packed(placed(items, item, x), ["cell", "part"], item, x, "i").join(route.select("district", "cell").distinct(), "cell").select("district", "cell", "i_ids", "i_vectors")
+    homes = route.select("home", "district", "cell").groupBy("home", "district").agg(F.collect_list("cell").alias("probed"))
+    asked = _packed(placed(queries, query, q), ["cell", "part"], query, q, "q").withColumnRenamed("cell", "home").join(homes, "home")
+    met = asked.join(own, "district").where(F.array_contains("probed", F.col("cell")))
+    return _ranked(met, ["district", "home", "part"], k, earlier)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> float:
