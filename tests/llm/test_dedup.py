@@ -1,8 +1,10 @@
 """Substring, line and SimHash dedup and decontamination against brute force."""
 
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, line_dedup, shared, shingle_join, simhash_dedup, substring_dedup
@@ -189,6 +191,64 @@ def test_crowded_buckets_of_long_lines(docs, monkeypatch):
     assert rows_of(line_dedup.remove_lines(docs(rows)), "doc_id", "n_lines", "n_removed", "text") == sorted(want, key=repr)
 
 
+def _repeating(seed, n):
+    """Lines that say a few words over and over, some with edits."""
+    rng = random.Random(seed)
+    lines = []
+    for i in range(n):
+        line = [f"k{i % 5}x{j}" for j in range(rng.choice([2, 3, 8]))] * rng.choice([4, 10, 24])
+        for _ in range(rng.randint(0, len(line) // 4)):
+            at = rng.randrange(len(line))
+            line[at : at + 1] = rng.choice([["new"], [], [line[at], "new"], [line[0]]])
+        lines.append(line)
+    return lines
+
+
+def test_repeated_words_leave_parity_bits():
+    """Lines of other words differ in their bits, though each word stands there an even number of times; an edit flips two at most."""
+    texts = [" ".join(x * 40) for x in (["one", "two"], ["three", "four"])]
+    (rows,) = line_dedup._lines(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": texts})]))
+    sides = [[np.uint64(x & (1 << 64) - 1) for x in rows.column(c).to_pylist()] for c in range(rows.num_columns) if rows.schema.names[c] in ("high", "low", *line_dedup._LONG)]
+    assert len(sides) == 10 and sum(int(np.bitwise_count(x ^ y)) for x, y in sides[:2]) > 32 and sum(int(np.bitwise_count(x ^ y)) for x, y in sides[2:]) > 60
+    lines = _repeating(31, 150)
+    rows = pa.Table.from_batches(line_dedup._lines(iter([pa.RecordBatch.from_pydict({"doc_id": range(150), "text": [" ".join(x) for x in lines]})]))).to_pylist()
+    sketches = line_dedup._sketches(iter([pa.RecordBatch.from_pydict({"line": range(150), "words": [np.array([hash(w) & (1 << 64) - 1 for w in x], np.uint64).tobytes() for x in lines]})]))
+    sketches = [np.frombuffer(x, np.uint64) for b in sketches for x in b.column(1).to_pylist()]
+    met = 0
+    for i, j in itertools.combinations(range(150), 2):
+        most = max(len(lines[i]), len(lines[j])) // 5
+        if line_dedup.edit_distance(lines[i], lines[j], most) <= most:
+            met += 1
+            allowed = 2 * most - abs(len(lines[i]) - len(lines[j]))
+            flips = [sum(((rows[i][c] ^ rows[j][c]) & (1 << 64) - 1).bit_count() for c in names if None not in (rows[i][c], rows[j][c])) for names in (("high", "low"), line_dedup._LONG)]
+            assert max(*flips, int(line_dedup._flips(sketches[i], sketches[j][None])[0])) <= allowed
+    assert met > 100
+
+
+def test_repeated_pairs_count_among_the_keys():
+    words = np.tile(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 60)
+    _, keys = line_dedup._prefixes(words, np.array([0, words.size]), np.zeros(1 << line_dedup.SLOTS_LOG, np.uint8))
+    assert keys.size == np.unique(keys).size == 4  # 193 of 479 pairs, 60 of a kind
+
+
+def test_lines_of_repeated_words(docs, monkeypatch):
+    rows = [(i, " ".join(x) + "\n...\n") for i, x in enumerate(_repeating(32, 60))]
+    want = sorted(line_dedup.brute_force(rows), key=repr)
+    assert 20 < sum(r[2] for r in want) < 60
+    assert rows_of(line_dedup.remove_lines(docs(rows)), "doc_id", "n_lines", "n_removed", "text") == want
+    monkeypatch.setattr(line_dedup, "PAIRED", 2)
+    monkeypatch.setattr(line_dedup, "HEADS", 1)
+    assert rows_of(line_dedup.remove_lines(docs(rows)), "doc_id", "n_lines", "n_removed", "text") == want
+
+
+def test_crowded_lines_of_other_words_make_no_pairs():
+    """A bucket of lines that repeat a few words, in groups of their own: only pairs that may be similar come out."""
+    words = [np.tile(np.array([7, 9, 11 * i + 100, 13 * i + 5000], np.uint64) * np.uint64(0x9E3779B97F4A7C15), 30) for i in range(40)]
+    (sketches,) = line_dedup._sketches(iter([pa.RecordBatch.from_pydict({"line": range(40), "words": [x.tobytes() for x in words]})]))
+    rows = {"key": [1] * 40, "line": range(40), "grp": range(40), "words": [120] * 40, "sketch": sketches.column(1).to_pylist(), "keys": [[1]] * 40}
+    assert sum(b.num_rows for b in line_dedup._across(iter([pa.RecordBatch.from_pydict(rows, line_dedup._CROWDED)]))) == 0
+
+
 def test_similar_sequences():
     """The bands and the filter of bags against the plain distance, for edits of every kind and many sizes."""
     rng = random.Random(14)
