@@ -266,3 +266,24 @@ def test_partitions_follow_the_rows_of_the_table(spark, monkeypatch, name):
     assert sorted(map(tuple, found.collect())) == whole
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert f"hashpartitioning({'l_orderkey' if name[0] == 'w' else 'fact'}" in plan and f", {-(-rows // 500)}), REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_in_tiles_with_equal_values_together(spark):
+    """Squares of two rows give what whole blocks give; a block puts equal values beside each other, in batches."""
+    df = spark.createDataFrame([(i, [float(i % 4)]) for i in range(23)], "id long, x array<double>")
+
+    def of_block(a, b):
+        x, y = B.matrix(a["x"])[:, 0], B.matrix(b["x"])[:, 0]
+        s = x[:, None] + y[None, :]
+        return s != 1, {"s": s, "n": (s, s == 2)}
+
+    values = {"s": "double", "n": "double"}
+    want = sorted((a, b, float(a % 4 + b % 4), None if a % 4 + b % 4 == 2 else float(a % 4 + b % 4)) for a in range(23) for b in range(a + 1, 23) if a % 4 + b % 4 != 1)
+    for rows in (5, 50):
+        found = [tuple(r) for r in B.pairs(df, "id", values, of_block, rows, 2, "s").coalesce(1).collect()]
+        assert sorted(found, key=repr) == sorted(want, key=repr)
+    runs = 1 + sum(x[2] != y[2] for x, y in zip(found, found[1:], strict=False))
+    assert runs == len({r[2] for r in want})
+    v = np.array([0.25, -1.5, 0.25, 7.0, -1.5, 0.25, np.nan])
+    place = B.together(v)
+    assert sorted(place) == list(range(7)) and 1 + sum(x != y for x, y in zip(v[place], v[place][1:], strict=False) if x == x and y == y) == 3
