@@ -201,3 +201,44 @@ def test_correlations_of_all_rows(spark):
             both = ~np.isnan(x[i]) & ~np.isnan(x[j])
             assert n[i, j] == both.sum()
             assert c[i, j] == pytest.approx(D.correlation(x[i : i + 1], x[j : j + 1], 1)[0], abs=1e-9, nan_ok=True)
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_removal_within_blocks(spark, frames, monkeypatch, block):
+    """A function as the stranger gives the rows of the column form, pairs leave a block without their series, and sums of blocks give the same test."""
+    members, series = frames
+    shift = lambda place, a, b, drivers: (place + a + b) % drivers
+    monkeypatch.setattr(D, "TILE", 3)
+    monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "WHOLE", block)
+    rows = D.removals(members, series, "name", 0.3, F.pmod(F.col("place") + F.col("a") + F.col("b"), F.col("drivers")))
+    want = sorted(map(tuple, rows.collect()), key=repr)
+    found = D.removals(members, series, "name", 0.3, shift)
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert found.columns == rows.columns and [r[:4] for r in got] == [r[:4] for r in want] and [r[6] for r in got] == [r[6] for r in want] and len(want) > 12
+    for g, w in zip(got, want, strict=True):
+        assert all(x == y if x is None or isinstance(x, (int, str)) else x == pytest.approx(y, abs=1e-9) for x, y in zip(g, w, strict=True))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "binary" not in plan[: plan.index("FlatMapCoGroupsInArrow")] and "FlatMapCoGroupsInArrow" in plan and "ArrowEvalPython" not in plan
+    s, t = D.attribution(rows).first(), D.removed(members, series, "name", shift).first()
+    assert (s.named, s.random) == (t.named, t.random) and all(t[c] == pytest.approx(s[c]) for c in ("named_drop", "random_drop", "excess", "t"))
+    s = D.removed(members, series.limit(0), "name", shift).first()
+    assert (s.named, s.random, s.t) == (0, 0, None) and D.removals(members.limit(0), series, "name", 0.3, shift).collect() == []
+    monkeypatch.setattr(D, "BROADCAST", 0)
+    assert D.removed(members, series, "name", shift).first().t == pytest.approx(t.t)
+
+
+def test_likely_pairs_miss_none():
+    """Single precision only sorts out: all pairs at the floor stay in, also of rows that hardly vary, have one value or an outlier off the common days."""
+    rng = np.random.default_rng(6)
+    common = rng.standard_normal(28)
+    x = rng.standard_normal((60, 28)) + common * rng.random((60, 1)) * 2
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[0], x[1], x[2, 3], x[3] = 5.0, 1e6 + 0.01 * common, 1e7, np.nan
+    x[2, 10:14], x[4, 3] = common[10:14], np.nan
+    a, p, s = D.shapes(x)
+    got = set(zip(*map(list, D.likely(s, s, 0.3, 20)), strict=True))
+    n, c = D.correlations(x, x)
+    assert {(i, j) for i in range(60) for j in range(60) if n[i, j] >= 20 and c[i, j] >= 0.3} <= got and len(got) < 3600
+    r, k = map(np.array, zip(*((i, j) for i in range(60) for j in range(60)), strict=True))
+    assert D.correlated(a[r], p[r], a[k], p[k]) == pytest.approx(D.correlation(x[r], x[k]), abs=1e-9, nan_ok=True)
