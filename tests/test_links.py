@@ -287,3 +287,31 @@ def test_pairs_in_tiles_with_equal_values_together(spark):
     v = np.array([0.25, -1.5, 0.25, 7.0, -1.5, 0.25, np.nan])
     place = B.together(v)
     assert sorted(place) == list(range(7)) and 1 + sum(x != y for x, y in zip(v[place], v[place][1:], strict=False) if x == x and y == y) == 3
+
+
+def test_persistence_sends_a_name_a_bounded_number_of_times(spark, monkeypatch):
+    """Parts stay at three as names grow, tiles change nothing, names without enough days are not sent, and names of the same days are kept."""
+    for k, v in {"ROWS": 2, "PARTS": 3, "TILE": 2}.items():
+        monkeypatch.setattr(P, k, v)
+    rng = np.random.default_rng(14)
+    made = [(1, n, x, y) for n, (x, y) in enumerate(zip(series(rng, 17, 20), series(rng, 17, 12), strict=True))]
+    made += [(1, 100 + n, x, y) for _, n, x, y in made] + [(2, n, x, [None] * 12) for _, n, x, _ in made] + [(1, 60, [1.0] * 20, [2.0] * 12)]
+    df = spark.createDataFrame(made, "window int, name long, x array<double>, y array<double>")
+    told = [(1, d, n) for n in range(17) for d in (f"d{n % 3}",)] + [(1, "twin", n) for n in (0, 100, 60)]
+    sent = []
+    meet = B.meet
+    monkeypatch.setattr(P.B, "meet", lambda rows, *rest: (sent.append(rows), meet(rows, *rest))[1])
+    got = {r.linked: r for r in P.by_member(df, spark.createDataFrame(told, "window int, driver string, name long")).collect()}
+    assert {(r.window, r.parts) for r in sent[0].collect()} == {(1, 3)} and all(r.name != 60 or r.window == 1 for r in sent[0].collect())
+    own = {n: {d for _, d, k in told if k == n} for n in range(200)}
+    want = {0: [], 1: []}
+    for v, a, xa, ya in made:
+        for w, b, xb, yb in made:
+            if v == w == 1 and a < b and 60 not in (a, b):
+                p, q = corr(xa, xb, 15), corr(ya, yb, 8)
+                if p is not None and q is not None and p > 0.3:
+                    # Equal days correlate by one before and after, whatever is left of digits.
+                    want[int(bool(own[a] & own[b]))].append((p, q, b == a + 100 or q >= p))
+    for k, pairs in want.items():
+        assert got[k].n == len(pairs) > 3 and got[k].kept == pytest.approx(np.mean([h for *_, h in pairs]))
+        assert (got[k].before, got[k].after) == (pytest.approx(np.mean([p for p, *_ in pairs])), pytest.approx(np.mean([q for _, q, _ in pairs])))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks as B
-from tidemark.operators.drivers import correlation
+from tidemark.operators.drivers import TILE, correlated, correlation, likely, shapes, steps
 from tidemark.operators.exposure import matrix, together
 
-#: Names of a block.
-ROWS = 1500
+#: Names of a block; parts of a window up to which a block holds no more, so that what is sent grows with the names; and names of a block at most.
+ROWS, PARTS, MOST = 1500, 16, 32_768
 SUMS = ["n", "kept", "before", "after"]
 
 
@@ -76,23 +78,57 @@ def by_member(series: DataFrame, members: DataFrame, floor: float = 0.3, least:
     ``members`` has window, driver, name.  A name carries its drivers into the blocks, so links are
     never rows: a driver's pairs are its names squared.
     """
-    own = members.groupBy("window", "name").agg(F.collect_set("driver").alias("own"))
-    none = F.array().cast(f"array<{dict(members.dtypes)['driver']}>")
-    rows = series.join(own, ["window", "name"], "left").withColumn("own", F.coalesce("own", none))
-    sizes = rows.groupBy("window").agg(F.ceil(F.count("*") / ROWS).alias("parts"))
+    # Drivers by place in their window; a window has as many rows here as drivers.
+    of = members.select("window", "driver").distinct()
+    of = of.withColumn("place", F.row_number().over(W.partitionBy("window").orderBy("driver")) - 1)
+    own = members.join(of, ["window", "driver"]).groupBy("window", "name").agg(F.collect_set("place").alias("own"))
+    # A name of fewer days than a pair needs is in none.
+    days = lambda c: F.size(F.filter(c, lambda v: v.isNotNull()))
+    rows = series.where((days("x") >= least[0]) & (days("y") >= least[1])).join(own, ["window", "name"], "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>")))
+    n = F.count("*")
+    sizes = rows.groupBy("window").agg(F.greatest(F.least(F.ceil(n / ROWS), F.lit(PARTS)), F.ceil(n / MOST)).alias("parts"))
     rows = rows.join(F.broadcast(sizes), "window").select("window", "name", "x", "y", "own", "parts")
 
-    def count(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
-        before, after = together(B.matrix(a["x"]), B.matrix(b["x"]), least[0]), together(B.matrix(a["y"]), B.matrix(b["y"]), least[1])
-        ok = (before > floor) & (after == after)
-        if same:
-            ok &= a["name"].to_numpy()[:, None] < b["name"].to_numpy()[None, :]
-        _, shared = B.sparse(a, b, "own")
-        made = []
-        for linked, some in ((1, ok & (shared > 0)), (0, ok & (shared == 0))):
-            x, y = before[some], after[some]
-            made.append((linked, int(some.sum()), int((y >= x).sum()), float(x.sum()), float(y.sum())))
-        return pa.table(dict(zip(("linked", *SUMS), map(list, zip(*made, strict=True)), strict=True)))
+    def side(t: pa.Table) -> tuple[np.ndarray, ...]:
+        (a, p, s), (b, q, _) = shapes(B.matrix(t["x"])), shapes(B.matrix(t["y"]))
+        return t["name"].to_numpy(), a, p, b, q, *s
+
+    def bits(t: pa.Table, known: np.ndarray) -> np.ndarray:
+        """Which of the known drivers each row has, a bit each."""
+        row, own = B.arrays(t["own"])
+        own = own.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(known, own)
+        has = np.append(known, -1)[at] == own
+        held = np.zeros((len(t), len(known) // 8 + 1), np.uint8)
+        np.bitwise_or.at(held, (row[has], at[has] >> 3), (1 << (at[has] & 7)).astype(np.uint8))
+        return held
+
+    def count(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        one = side(left)
+        two = one if same else side(right)
+        known = np.intersect1d(*(B.arrays(t["own"])[1].to_numpy(zero_copy_only=False) for t in (left, right)))
+        of_a = bits(left, known)
+        of_b = of_a if same else bits(right, known)
+        sums = np.zeros((2, 4))
+        for i in range(0, len(left), TILE):
+            for j in range(i if same else 0, len(right), TILE):
+                (m, a, p, x, u, *s), (n, b, q, y, v, *t) = ([k[at : at + TILE] for k in o] for o, at in ((one, i), (two, j)))
+                r, c = likely(s, t, floor, least[0])
+                if same and i == j:
+                    keep = m[r] < n[c]
+                    r, c = r[keep], c[keep]
+                for r, c in steps(r, c):  # noqa: PLW2901, B020
+                    before = correlated(a[r], p[r], b[c], q[c], least[0], 1e-12)
+                    keep = before > floor
+                    r, c, before = r[keep], c[keep], before[keep]  # noqa: PLW2901
+                    after = correlated(x[r], u[r], y[c], v[c], least[1], 1e-12)
+                    keep = ~np.isnan(after)
+                    r, c, before, after = r[keep], c[keep], before[keep], after[keep]  # noqa: PLW2901
+                    linked = (of_a[i + r] & of_b[j + c]).any(1).astype(int)
+                    for k, value in enumerate((np.ones(len(r)), after >= before, before, after)):
+                        sums[:, k] += np.bincount(linked, value, 2)
+        n, kept, before, after = sums.T
+        return pa.table({"linked": [0, 1], "n": n.astype(int), "kept": kept.astype(int), "before": before, "after": after})
 
     found = B.meet(rows, "name", ["window"], F.col("parts"), "linked int, n long, kept long, before double, after double", count)
     sums = found.groupBy("linked").agg(*[F.sum(c).alias(c) for c in SUMS]).where("n > 0")
