@@ -345,3 +345,28 @@ def test_interval_join_counts_fractions_of_seconds(spark):
     a = spark.createDataFrame([(1, ts("2024-01-02T12:00:00.2"))], "k int, t timestamp")
     b = spark.createDataFrame([(1, ts("2024-01-04T00:00:00.2"), 1), (1, ts("2024-01-04T00:00:00.9"), 2), (1, ts("2024-01-01T00:00:00.1"), 3), (1, ts("2024-01-01T00:00:00.2"), 4)], "k int, u timestamp, id int")
     assert sorted(r.id for r in X.near_in_time(a, b, ["k"], "t", "u", 36 * 3600).collect()) == [1, 4]
+
+
+def test_page_rank_moves_edges_once(spark, monkeypatch):
+    """Edges are saved once, by their end, and rounds join them by broadcast; beyond the bound the same ranks come from joins."""
+    facts = spark.createDataFrame([(f, (f * f + 3 * i) % 11) for f in range(40) for i in range(1 + f % 4)], "fact long, entity long")
+    seeds = spark.createDataFrame([(1, 1.0), (2, 3.0), (99, 1.0)], "node long, mass double")
+    plain = {(r.a, r.b): r.weight for r in G.both_ways(G.cooccurrence(facts, "fact", "entity")).collect()}
+    edges = G.shared(facts, "fact", "entity")
+    assert {(r.a, r.b): r.w for r in edges.groupBy("a", "b").agg(F.sum("weight").alias("w")).collect()} == plain
+    plans, saved = [], G.saved
+    monkeypatch.setattr(G, "saved", lambda df: (plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())), saved(df))[1])
+    want = {1: 0.2, 2: 0.6, 99: 0.2}
+    p, rank = want, want
+    nodes = {n for e in plain for n in e} | set(p)
+    degree = {n: sum(w for (a, _), w in plain.items() if a == n) for n in nodes}
+    for _ in range(6):
+        idle = sum(r for n, r in rank.items() if not degree[n])
+        rank = {n: 0.15 * p.get(n, 0) + 0.85 * (sum(rank.get(a, 0) * w / degree[a] for (a, b), w in plain.items() if b == n) + idle * p.get(n, 0)) for n in nodes}
+    got = {r.node: r["rank"] for r in G.page_rank(edges, seeds, rounds=6).collect()}
+    assert got == pytest.approx(rank) and abs(sum(got.values()) - 1) < 1e-9
+    assert [c for c, _ in plans if "weight" in c] == [["b", "a", "weight"]] and "RepartitionByExpression [b" in plans[0][1]
+    rounds = [q for c, q in plans if "r" in c]
+    assert len(rounds) == 6 and all(q.count("strategy=broadcast") == 3 for q in rounds)
+    monkeypatch.setattr(G, "NODES", 0)
+    assert {r.node: r["rank"] for r in G.page_rank(edges, seeds, rounds=6).collect()} == pytest.approx(rank)

@@ -155,7 +155,7 @@ SELECT node, round(r, 6) AS rank FROM r10""")
 def g08_restart_rank(spark: SparkSession, d: str) -> DataFrame:
     """Rank around one entity with a restart of 0.4."""
     seed = spark.sql("SELECT * FROM VALUES (3L, 1.0D) AS t(node, mass)")
-    ranks = G.page_rank(G.both_ways(G.cooccurrence(facts(spark, d), "fact", "entity")), seed, 0.6, 10, every=2)
+    ranks = G.page_rank(G.shared(facts(spark, d), "fact", "entity"), seed, 0.6, 10, every=2)
     return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 

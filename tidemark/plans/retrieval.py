@@ -319,7 +319,7 @@ def _sql_rank(rounds: int) -> str:
 SELECT node, round(r, 6) AS rank FROM r8""")
 def g09_personalised_rank(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.sql("SELECT * FROM VALUES (1L, 1.0D), (2L, 1.0D) AS t(node, mass)")
-    r = G.page_rank(G.both_ways(G.cooccurrence(facts(spark, d), "fact", "entity")), seeds, 0.85, 8)
+    r = G.page_rank(G.shared(facts(spark, d), "fact", "entity"), seeds, 0.85, 8)
     return r.select("node", F.round("rank", 6).alias("rank"))
 
 
