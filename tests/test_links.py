@@ -315,3 +315,28 @@ def test_persistence_sends_a_name_a_bounded_number_of_times(spark, monkeypatch):
     for k, pairs in want.items():
         assert got[k].n == len(pairs) > 3 and got[k].kept == pytest.approx(np.mean([h for *_, h in pairs]))
         assert (got[k].before, got[k].after) == (pytest.approx(np.mean([p for p, *_ in pairs])), pytest.approx(np.mean([q for _, q, _ in pairs])))
+
+
+def test_bridges_of_parts_without_common_neighbours_do_not_meet(spark, tmp_path, monkeypatch):
+    """Three groups of suppliers that share no order: only parts with a common neighbour meet, and the bridges are those of plain sets."""
+    from tidemark.plans import evidence
+
+    rng = np.random.default_rng(15)
+    rows = [(o, 100 * (o % 3) + int(s)) for o in range(90) for s in rng.choice(10, 1 + o % 4, False)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o,) for o in range(80)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    near = {}
+    for o, s in rows:
+        for p, t in rows:
+            if o == p < 80 and s != t:
+                near.setdefault(s, set()).add(t)
+    most = np.percentile([len(v) for v in near.values()], 98)
+    kept = {n: {m for m in v if len(near[m]) <= most} for n, v in near.items()}
+    want = {(a, b, len(kept[a] & kept[b])) for a in near for b in near if a < b and kept[a] & kept[b]}
+    met, saved = [], evidence.G.saved
+    monkeypatch.setattr(evidence.G, "saved", lambda df: (lambda s: (met.append(s) if df.columns == ["_i", "_j"] else None, s)[1])(saved(df)))
+    for size in (5, 3000):
+        monkeypatch.setattr(evidence, "BRIDGED", size)
+        assert {tuple(r) for r in evidence.g21_bridges(spark, str(tmp_path)).collect()} == want and len(want) > 50
+    assert {tuple(r) for r in met[0].collect()} == {(i, j) for i in range(6) for j in range(i, 6) if i // 2 == j // 2}
+    assert [tuple(r) for r in met[1].collect()] == [(0, 0)]
